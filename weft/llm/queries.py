@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import minhash
+from . import bpe, kdshard, minhash, packing, quality_rules, token_counts
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +22,26 @@ def op1_minhash(spark, sf_dir):
     return minhash.minhash_dedup(_docs(spark, sf_dir), shingle=2)
 
 
+def op2_kdtree(spark, sf_dir):
+    return kdshard.kd_shards(_docs(spark, sf_dir), shards=8)
+
+
+def op3_best_fit(spark, sf_dir):
+    return packing.pack_documents(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op4_bpe(spark, sf_dir):
+    return bpe.bpe_digests(_docs(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(_docs(spark, sf_dir))
+
+
+def op9_token_counts(spark, sf_dir):
+    return token_counts.token_counts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=512)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
