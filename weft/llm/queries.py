@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe, kdshard, minhash, packing, quality_rules, token_counts
+from . import bpe, embedding_dedup, kdshard, minhash, packing, quality_classifier, quality_rules, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -42,6 +42,14 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.token_counts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op8_pivots(spark, sf_dir):
+    return embedding_dedup.embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
+def op10_knn_quality(spark, sf_dir):
+    return quality_classifier.quality_scores(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
