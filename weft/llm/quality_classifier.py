@@ -113,6 +113,20 @@ def score(docs: DataFrame, model: Model, block: int = 1024) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep_likely(docs: DataFrame, model: Model, least: float = 0.5, block: int = 1024) -> DataFrame:
+    """The documents with a score of at least `least`, with the columns of docs; scored and filtered in one pass."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, block):
+                c = b.slice(i, block)
+                s = held.value.score(np.array([term_weights(t.as_py()) for t in c.column(at)], np.float32))
+                yield c.filter(pa.array(s >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_of_id(c: str = "doc_id"):
     return F.crc32(F.col(c).cast("long").cast("string").cast("binary"))
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Memo, stash
 
@@ -92,6 +93,16 @@ def thresholds(m: DataFrame, least_docs: int = 100, reach: float = 3.0) -> DataF
     return both.select("lang", "source", *[pick(k).alias(f"t_{k}") for k in MEASURES])
 
 
+def _over() -> Column:
+    """Names of the measures over the joined thresholds."""
+    rate = lambda n, d: F.expr(f"case when {d} > 0 then {n} * 1000 div {d} else 0 end")
+    return F.array_join(F.array_compact(F.array(*[F.when(rate(n, d) > F.col(f"t_{k}"), F.lit(k)) for k, (n, d, _) in MEASURES.items()])), ",")
+
+
+def _base_failed(least_words: int, most_repeats: int) -> Column:
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
+
+
 def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, least_docs: int = 100, reach: float = 3.0) -> DataFrame:
     """(doc_id, counts..., base_failed, kept, failed) of each document.
 
@@ -103,8 +114,26 @@ def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50
     """
     m = stash(measured(docs), "measured")
     t = stash(thresholds(m, least_docs, reach), "thresholds")
-    over = F.array_compact(F.array(*[F.when(F.expr(f"case when {d} > 0 then {n} * 1000 div {d} else 0 end") > F.col(f"t_{k}"), F.lit(k)) for k, (n, d, _) in MEASURES.items()]))
     # a plain join: the table of thresholds is broadcast when its files are small enough, else the join is dealt by key and skew is split at run time
-    j = m.join(t, ["lang", "source"], "left").withColumn("failed", F.array_join(over, ","))
-    base = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
+    j = m.join(t, ["lang", "source"], "left").withColumn("failed", _over())
+    base = _base_failed(least_words, most_repeats)
     return j.select("doc_id", *_COUNTS, base.alias("base_failed"), (~base & (F.col("failed") == "")).alias("kept"), "failed")
+
+
+def keep_good(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, least_docs: int = 100, reach: float = 3.0) -> DataFrame:
+    """The documents that quality_rules keeps, with the columns of docs. Texts are measured again on the way rather than shuffled to their verdicts."""
+    t = stash(thresholds(stash(measured(docs), "measured"), least_docs, reach), "thresholds")
+    names = docs.columns
+    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in names else F.lit("")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), group("lang").alias("lang"), group("source").alias("source"), F.col("text").cast("string").alias("_text"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 1024):
+                c = b.slice(i, 1024)
+                rows = np.array([counts(x.as_py()) for x in c.column(3)], np.int64).reshape(c.num_rows, len(_COUNTS))
+                yield pa.RecordBatch.from_arrays([*c.columns[:3], *[pa.array(rows[:, k]) for k in range(len(_COUNTS))]], ["_row", "lang", "source", *_COUNTS])
+
+    schema = StructType([*marked.schema.fields[:3], *[StructField(c, LongType()) for c in _COUNTS]])
+    j = marked.mapInArrow(run, schema).join(t, ["lang", "source"], "left").withColumn("failed", _over())
+    return j.where(~_base_failed(least_words, most_repeats) & (F.coalesce("failed", F.lit("")) == "")).select("_row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import bpe, embedding_dedup, kdshard, licenses, minhash, packing, quality_classifier, quality_rules, token_counts
+from . import bpe, embedding_dedup, kdshard, language_model, licenses, minhash, packing, quality_classifier, quality_rules, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -42,6 +42,10 @@ def op9_token_counts(spark, sf_dir):
     return token_counts.token_counts(_docs(spark, sf_dir), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op6_maxent(spark, sf_dir):
+    return language_model.lm_scores(_docs(spark, sf_dir))
+
+
 def op7_licenses(spark, sf_dir):
     return licenses.license_scan(_docs(spark, sf_dir))
 
