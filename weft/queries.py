@@ -1,11 +1,373 @@
-"""Registered queries of the sparse-matrix engine, each with the SQL it is held against."""
+"""Registered queries of the sparse-matrix engine, each with the SQL it is held against.
+
+The matrices are views of the driver's tables: supplier x part quantities (with duplicates), customer x order, order x part, label x vector. Values that are
+summed are whole numbers held as doubles, so the order of summation can't change a result.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import encoding as enc
+from .operators import decompose as dec
+from .operators import indirect, kernels
+from .operators import primitives as prim
+from .tensor import SparseTensor, struct_convert, whole
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _shape(spark, d) -> tuple[int, int]:
+    """One past the largest supplier and part keys, from the key tables."""
+    m = _t(spark, d, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
+    return m, _t(spark, d, "part").agg(F.max("p_partkey")).first()[0] + 1
+
+
+def _supp_part(spark, d, value="l_quantity", where=None) -> SparseTensor:
+    df = _t(spark, d, "lineitem")
+    if where is not None:
+        df = df.where(where)
+    return SparseTensor.from_table(df, "l_suppkey", "l_partkey", F.col(value).cast("double"), _shape(spark, d))
+
+
+def _square(spark, d, n=64) -> SparseTensor:
+    """Coalesced quantities of keys modulo n."""
+    df = _t(spark, d, "lineitem").select(F.pmod("l_suppkey", F.lit(n)).alias("i"), F.pmod("l_partkey", F.lit(n)).alias("j"), F.col("l_quantity").cast("double").alias("v"))
+    return SparseTensor.from_table(df, "i", "j", "v", (n, n)).coalesced()
+
+
+_SP = "SELECT l_suppkey AS i, l_partkey AS j, CAST(l_quantity AS DOUBLE) AS v FROM lineitem"
+_SPC = f"SELECT i, j, sum(v) AS v FROM ({_SP}) GROUP BY i, j"
+_SQ = "SELECT l_suppkey % 64 AS i, l_partkey % 64 AS j, sum(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem GROUP BY 1, 2"
+_M, _N = "(SELECT max(s_suppkey) + 1 FROM supplier)", "(SELECT max(p_partkey) + 1 FROM part)"
+_ALL: dict = {}
+
+
+def _query(sql: str | None):
+    def add(f):
+        _ALL[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+@_query(_SP)
+def coo_scan(spark, d):
+    return _supp_part(spark, d).df
+
+
+@_query(_SPC)
+def coo_coalesce(spark, d):
+    return _supp_part(spark, d).coalesced().df
+
+
+@_query(f"SELECT a.i, sum(a.v * p.p_size) AS x FROM ({_SP}) a JOIN part p ON p.p_partkey = a.j GROUP BY a.i")
+def spmv(spark, d):
+    return kernels.spmv(_supp_part(spark, d), _sizes(spark, d))
+
+
+def _sizes(spark, d):
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("j"), F.col("p_size").cast("double").alias("b"))
+
+
+@_query(f"SELECT r.range AS i, coalesce(x, 0.0) AS x FROM range({_M}) r LEFT JOIN (SELECT a.i, sum(a.v * p.p_size) AS x FROM ({_SP} WHERE l_suppkey % 3 = 0) a JOIN part p ON p.p_partkey = a.j GROUP BY a.i) s ON s.i = r.range")
+def spmv_dense_out(spark, d):
+    return kernels.spmv(_supp_part(spark, d, where="l_suppkey % 3 = 0"), _sizes(spark, d), dense=True)
+
+
+_SPMV_SQL = f"SELECT a.i, sum(a.v * p.p_size) AS x FROM ({_SPC}) a JOIN part p ON p.p_partkey = a.j GROUP BY a.i"
+
+
+def _stored_spmv(name, e):
+    def f(spark, d):
+        t = SparseTensor(_supp_part(spark, d).coalesced().df, _shape(spark, d), e)
+        back = SparseTensor.from_levels(t.levels(), t.shape, e)
+        return kernels.spmv(back, _sizes(spark, d))
+
+    f.__name__ = name
+    _query(_SPMV_SQL)(f)
+
+
+for _e in (enc.CSR, enc.CSC, enc.DCSR, enc.DCSC, enc.bcsr(8, 16), enc.csb(8, 16)):
+    _stored_spmv(f"spmv_{_e.name.lower()}", _e)
+
+
+def _dense_vector(spark, n=64):
+    return spark.range(n).select(F.col("id").alias("j"), (F.col("id") + 1).cast("double").alias("b"))
+
+
+@_query(f"SELECT i, sum(v * (j + 1)) AS x FROM ({_SQ}) GROUP BY i")
+def dia_spmv(spark, d):
+    t = _square(spark, d).convert(enc.DIA2)
+    return kernels.blocks_spmv(t.storage().blocks(), t, _dense_vector(spark))
+
+
+_B3 = "SELECT b.range AS k, c.range AS j, CAST(b.range * 1000 + c.range AS DOUBLE) AS b FROM range(64) b, range(3) c"
+
+
+def _dense_matrix(spark, n=64, w=3):
+    return spark.range(n).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(w - 1).cast("long"))).alias("j")).withColumn("b", (F.col("k") * 1000 + F.col("j")).cast("double"))
+
+
+@_query(f"SELECT a.i, m.j, sum(a.v * m.b) AS x FROM ({_SQ}) a JOIN ({_B3}) m ON m.k = a.j GROUP BY a.i, m.j")
+def dia_spmm(spark, d):
+    t = _square(spark, d).convert(enc.DIA3)
+    return kernels.blocks_spmm(t.storage().blocks(), t, _dense_matrix(spark))
+
+
+@_query(f"SELECT i, sum(v * (j + 1)) AS x FROM ({_SQ}) GROUP BY i")
+def bdia_spmv(spark, d):
+    return kernels.hybrid_spmv(dec.decompose_bdia(_square(spark, d), 8, 0.5), _dense_vector(spark))
+
+
+@_query(f"SELECT a.i, m.j, sum(a.v * m.b) AS x FROM ({_SQ}) a JOIN ({_B3}) m ON m.k = a.j GROUP BY a.i, m.j")
+def bdia_spmm(spark, d):
+    return kernels.hybrid_spmm(dec.decompose_bdia(_square(spark, d), 8, 0.5), _dense_matrix(spark))
+
+
+@_query(f"SELECT a.i, m.j, sum(a.v * m.b) AS x FROM ({_SP}) a JOIN (SELECT p_partkey AS k, c.range AS j, CAST(p_size * (c.range + 1) AS DOUBLE) AS b FROM part, range(4) c) m ON m.k = a.j GROUP BY a.i, m.j")
+def spmm(spark, d):
+    b = _t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("j"), "p_size")
+    return kernels.spmm(_supp_part(spark, d), b.select("k", "j", (F.col("p_size") * (F.col("j") + 1)).cast("double").alias("b")))
+
+
+@_query("SELECT CAST(label AS BIGINT) AS i, CAST(k - 1 AS BIGINT) AS j, round(sum(CAST(embedding[k] AS DOUBLE)), 4) AS x FROM embeddings, range(1, 65) t(k) GROUP BY 1, 2")
+def spmm_embeddings(spark, d):
+    e = _t(spark, d, "embeddings")
+    a = SparseTensor.from_table(e, "label", "vec_id", F.lit(1.0), (10, 0))
+    r = kernels.spmm_rows(a, e.select(F.col("vec_id").alias("k"), F.col("embedding").cast("array<double>").alias("row")), 64)
+    return r.select("i", F.posexplode("row").alias("j", "x")).select("i", F.col("j").cast("long").alias("j"), F.round("x", 4).alias("x"))
+
+
+def _cust_order(spark, d):
+    return SparseTensor.from_table(_t(spark, d, "orders"), "o_custkey", "o_orderkey", F.lit(1.0), (0, 0))
+
+
+@_query("SELECT o_custkey AS i, l_partkey AS j, sum(CAST(l_quantity AS DOUBLE)) AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def spgemm_cust_part(spark, d):
+    b = SparseTensor.from_table(_t(spark, d, "lineitem"), "l_orderkey", "l_partkey", F.col("l_quantity").cast("double"), (0, 0))
+    return kernels.spgemm(_cust_order(spark, d), b, enc.CSR).df
+
+
+@_query(f"SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM ({_SPC}) a JOIN ({_SPC}) b ON a.j = b.j GROUP BY 1, 2")
+def spgemm_self(spark, d):
+    a = _supp_part(spark, d)
+    return kernels.spgemm(a, a.transposed(), enc.CSC).df
+
+
+@_query(f"SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM ({_SPC}) a JOIN ({_SPC}) b ON a.j = b.j GROUP BY 1, 2")
+def einsum_product(spark, d):
+    a = _supp_part(spark, d).coalesced()
+    return kernels.einsum("ik,kj->ij", a.df.withColumnRenamed("j", "k"), a.transposed().df.withColumnRenamed("i", "k"))
+
+
+@_query(f"SELECT p.range AS pos, coalesce((SELECT count(*) FROM ({_SPC}) a WHERE a.i < p.range), 0) AS x FROM range({_M} + 1) p")
+def csr_ptr(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.CSR).storage().ptr(0)
+
+
+def _dense_ptr(key, n):
+    return f"SELECT p.range AS pos, CAST(coalesce(sum(c) OVER (ORDER BY p.range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x FROM range({n} + 1) p LEFT JOIN (SELECT {key} AS k, count(*) AS c FROM ({_SPC}) GROUP BY 1) t ON t.k = p.range"
+
+
+@_query(_dense_ptr("j", _N))
+def csc_ptr(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.CSC).storage().ptr(0)
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY j, i) - 1 AS pos, i AS x FROM ({_SPC})")
+def csc_crd(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.CSC).storage().crd(1)
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY j, i) - 1 AS pos, v FROM ({_SPC})")
+def csc_value(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.CSC).storage().value()
+
+
+_D = f"SELECT i, count(*) AS c FROM ({_SPC}) WHERE i % 3 <> 1 GROUP BY i"
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY i) - 1 AS pos, CAST(coalesce(sum(c) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x FROM ({_D}) UNION ALL SELECT count(*), CAST(coalesce(sum(c), 0) AS BIGINT) FROM ({_D})")
+def dcsr_ptr(spark, d):
+    return _supp_part(spark, d, where="l_suppkey % 3 <> 1").coalesced().convert(enc.DCSR).storage().ptr(0)
+
+
+@_query(f"SELECT i // 8 AS bi, j // 16 AS bj, (i % 8) * 16 + j % 16 AS at, v FROM ({_SPC})")
+def bcsr_blocks(spark, d):
+    b = _supp_part(spark, d).convert(enc.bcsr(8, 16)).storage().blocks()
+    return b.select(F.col("l0").alias("bi"), F.col("l1").alias("bj"), F.posexplode("block").alias("at", "v")).where("v <> 0").withColumn("at", F.col("at").cast("long"))
+
+
+@_query(
+    f"WITH t AS (SELECT (i // 8) * (({_N} + 15) // 16) + j // 16 AS k, count(*) AS c FROM ({_SPC}) GROUP BY 1) "
+    f"SELECT p.range AS pos, CAST(coalesce(sum(c) OVER (ORDER BY p.range ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x FROM range((({_M} + 7) // 8) * (({_N} + 15) // 16) + 1) p LEFT JOIN t ON t.k = p.range"
+)
+def csb_ptr(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.csb(8, 16)).storage().ptr(1)
+
+
+@_query(f"SELECT j - i AS l0, count(*) AS n, sum(v) AS x FROM ({_SQ}) GROUP BY 1")
+def dia_diagonals(spark, d):
+    return _square(spark, d).convert(enc.DIA1).levels().groupBy("l0").agg(F.count("*").alias("n"), F.sum("v").alias("x"))
+
+
+@_query(f"SELECT i // 8 AS l0, j - i AS l1, count(*) AS n, sum(v) AS x FROM ({_SQ}) GROUP BY 1, 2")
+def bdia_diagonals(spark, d):
+    return _square(spark, d).convert(enc.bdia(8)).levels().groupBy("l0", "l1").agg(F.count("*").alias("n"), F.sum("v").alias("x"))
+
+
+@_query(f"SELECT i % 8 AS l0, count(*) AS n, sum(v) AS x FROM ({_SPC}) GROUP BY 1")
+def c2sr_channels(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.c2sr(8)).levels().groupBy("l0").agg(F.count("*").alias("n"), F.sum("v").alias("x"))
+
+
+@_query(f"SELECT row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS l0, i AS l1, j AS l2, v FROM ({_SPC})")
+def ell_slots(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.ell()).levels()
+
+
+@_query(f"SELECT i, nnz, row_number() OVER (ORDER BY nnz DESC, i) - 1 AS rank FROM (SELECT r.range AS i, count(a.v) AS nnz FROM range({_M}) r LEFT JOIN ({_SPC}) a ON a.i = r.range GROUP BY 1)")
+def reorder_rank(spark, d):
+    return indirect.reorder(indirect.row_counts(_supp_part(spark, d).coalesced()))
+
+
+@_query(None)
+def cisr_schedule(spark, d):
+    return indirect.schedule(indirect.row_counts(_supp_part(spark, d).coalesced()), 8)
+
+
+@_query(None)
+def cisr_plus_levels(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.cisr_plus(8)).levels()
+
+
+@_query(f"SELECT row_number() OVER (PARTITION BY i // 4 ORDER BY j // 4) - 1 AS slot, i // 4 AS block_row, j // 4 AS block_col, sum(v) AS x FROM ({_SPC}) GROUP BY i // 4, j // 4")
+def bell_slots(spark, d):
+    b = indirect.bell(_supp_part(spark, d), 4, 4)
+    return b.select("slot", "block_row", "block_col", F.aggregate("block", F.lit(0.0), lambda a, x: a + x).alias("x"))
+
+
+@_query(
+    f"WITH c AS ({_SPC}), r AS (SELECT i, row_number() OVER (ORDER BY nnz DESC, i) - 1 AS k FROM (SELECT r.range AS i, count(c.v) AS nnz FROM range({_M}) r LEFT JOIN c ON c.i = r.range GROUP BY 1)) "
+    'SELECT k // 4 AS "group", k % 4 AS lane, row_number() OVER (PARTITION BY c.i ORDER BY c.j) - 1 AS slot, c.i, c.j, c.v FROM c JOIN r ON r.i = c.i'
+)
+def serpens_lanes(spark, d):
+    return indirect.serpens(_supp_part(spark, d).coalesced(), 4)
+
+
+def _decompose_sql(keys):
+    p = f"SELECT *, count(*) OVER (PARTITION BY {keys}) AS n FROM ({_SPC})"
+    return f"SELECT i, j, v, CAST(CASE WHEN n / m < 0.5 THEN 0 WHEN n / m < 0.75 THEN 1 ELSE 2 END AS INTEGER) AS part FROM (SELECT *, max(n) OVER () AS m FROM ({p}))"
+
+
+@_query(_decompose_sql("i // 4, j // 8"))
+def decompose_block(spark, d):
+    return dec.window_parts(_supp_part(spark, d).coalesced(), [0.5, 0.75], "block", 4, 8)
+
+
+@_query(_decompose_sql("i // 4"))
+def decompose_row(spark, d):
+    return dec.window_parts(_supp_part(spark, d).coalesced(), [0.5, 0.75], "row", rows=4)
+
+
+@_query(_decompose_sql("j // 8"))
+def decompose_col(spark, d):
+    return dec.window_parts(_supp_part(spark, d).coalesced(), [0.5, 0.75], "column", cols=8)
+
+
+@_query(f"SELECT i, j, v, CAST(CASE WHEN n >= 4 THEN 0 ELSE 1 END AS INTEGER) AS part FROM (SELECT *, count(*) OVER (PARTITION BY i // 8, j - i) AS n FROM ({_SQ}))")
+def decompose_bdia(spark, d):
+    one, two = dec.decompose_bdia(_square(spark, d), 8, 0.5)
+    return one.df.withColumn("part", F.lit(0)).unionByName(two.df.withColumn("part", F.lit(1)))
+
+
+@_query(
+    f"WITH b AS (SELECT i // 4 AS r, j // 4 AS c, count(*) / 16.0 AS f FROM ({_SPC}) GROUP BY 1, 2), "
+    f"k AS (SELECT r, c FROM (SELECT r, c, row_number() OVER (PARTITION BY r ORDER BY c) AS s FROM b WHERE f >= 0.25) WHERE s <= CAST(floor(0.1 * (({_N} + 3) // 4)) AS BIGINT)) "
+    f"SELECT a.i, a.j, a.v, CAST(CASE WHEN k.r IS NULL THEN 1 ELSE 0 END AS INTEGER) AS part FROM ({_SPC}) a LEFT JOIN k ON k.r = a.i // 4 AND k.c = a.j // 4"
+)
+def decompose_bell(spark, d):
+    one, two = dec.decompose_bell(_supp_part(spark, d).coalesced(), 4, 0.25, 0.1)
+    return one.df.withColumn("part", F.lit(0)).unionByName(two.df.withColumn("part", F.lit(1)))
+
+
+@_query(_SPC)
+def struct_union(spark, d):
+    parts = dec.decompose(_supp_part(spark, d).coalesced(), [0.5, 0.75], "block", 4, 8)
+    parts = struct_convert(parts, [enc.CSR, enc.DIA1, enc.csb(4, 8)])
+    return whole([SparseTensor.from_levels(p.levels(), p.shape, p.encoding) for p in parts]).df
+
+
+def _round_trip(e, name=None):
+    def f(spark, d):
+        t = _supp_part(spark, d).coalesced().convert(e)
+        return SparseTensor.from_levels(t.levels(), t.shape, e).df
+
+    f.__name__ = f"roundtrip_{name or e.name.lower()}"
+    _query(_SPC)(f)
+
+
+for _e in (enc.COO, enc.CSR, enc.CSC, enc.DCSR, enc.DCSC, enc.bcsr(4, 4), enc.bcsc(2, 3), enc.bdcsr(2, 3), enc.bcoo(2, 3), enc.csb(2, 3), enc.ne_csb(2, 3), enc.csbcsr(2, 3), enc.csbdcsr(2, 3), enc.DIA1, enc.DIA2, enc.DIA3, enc.DIA4, enc.bdia(100), enc.c2sr(1024), enc.ell(), enc.HISPARSE):
+    _round_trip(_e)
+
+
+@_query(_SQ)
+def devectorize_blocks(spark, d):
+    t = _square(spark, d).convert(enc.bcsr(4, 4))
+    return kernels.from_blocks(t.storage().blocks(), t).df
+
+
+@_query(f"SELECT i % 4 AS l0, i // 4 AS l1, j - i AS l2, v FROM ({_SQ})")
+def primitive_chain(spark, d):
+    x = prim.sub(_square(spark, d).convert(enc.COO).levels(), 1, 0)
+    return prim.swap(prim.tile_split(x, 0, 4), 0, 1)
+
+
+def _flag(spark, d, f):
+    return _supp_part(spark, d, where=F.col("l_returnflag") == f).coalesced()
+
+
+_FA, _FR = (f"SELECT l_suppkey AS i, l_partkey AS j, sum(CAST(l_quantity AS DOUBLE)) AS v FROM lineitem WHERE l_returnflag = '{f}' GROUP BY 1, 2" for f in "AR")
+
+
+@_query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.v, 0) + coalesce(b.v, 0) AS v FROM ({_FA}) a FULL JOIN ({_FR}) b ON a.i = b.i AND a.j = b.j")
+def ewise_add(spark, d):
+    return kernels.ewise_add(_flag(spark, d, "A"), _flag(spark, d, "R")).df
+
+
+@_query(f"SELECT coalesce(a.i, b.i) AS i, coalesce(a.j, b.j) AS j, coalesce(a.v, 0) - coalesce(b.v, 0) AS v FROM ({_FA}) a FULL JOIN ({_FR}) b ON a.i = b.i AND a.j = b.j")
+def ewise_sub(spark, d):
+    return kernels.ewise_sub(_flag(spark, d, "A"), _flag(spark, d, "R")).df
+
+
+@_query(f"SELECT a.i, a.j, a.v * b.v AS v FROM ({_FA}) a JOIN ({_FR}) b ON a.i = b.i AND a.j = b.j")
+def ewise_mul(spark, d):
+    return kernels.ewise_mul(_flag(spark, d, "A"), _flag(spark, d, "R")).df
+
+
+def _reduction(how, sql, cast):
+    def f(spark, d):
+        t = SparseTensor.from_table(_t(spark, d, "lineitem").where("l_orderkey % 7 = 0"), "l_orderkey", "l_suppkey", F.col("l_linenumber").cast(cast), (0, 0))
+        return kernels.reduce(t, how)
+
+    f.__name__ = f"reduce_{how}"
+    _query(f"SELECT l_orderkey AS i, {sql} AS x FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1")(f)
+
+
+_reduction("sum", "sum(CAST(l_linenumber AS DOUBLE))", "double")
+_reduction("product", "product(CAST(l_linenumber AS DOUBLE))", "double")
+_reduction("and", "bit_and(CAST(l_linenumber AS BIGINT))", "long")
+_reduction("or", "bit_or(CAST(l_linenumber AS BIGINT))", "long")
+_reduction("xor", "bit_xor(CAST(l_linenumber AS BIGINT))", "long")
+
 
 def queries() -> dict:
-    return {}
+    return {k: f for k, (f, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for k, (_, s) in _ALL.items() if s}
