@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from functools import lru_cache
@@ -26,6 +25,19 @@ def white_words(text: str) -> list[str]:
     return text.split()
 
 
+#: Pre-tokens of a word whose letters all stand before U+0250 (no combining marks there, so normalisation only lowers case).
+_L, _N = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼½¾"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_L}{_N}]+").findall
+
+
+def plain_pieces(word: str) -> list[str] | None:
+    """Pre-tokens of a word as the word vocabulary's file cuts them, or None where that is left to the library: rare letters, and what may hold a special token."""
+    low = word.lower()
+    if "<|" in word or not word.isascii() and (max(word) >= "ɐ" or max(low) >= "ɐ" or "İ" in word):
+        return None
+    return _PIECES(low)
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder of one vocabulary file (JSON; BPE with a word end, white space dropped by the pre-tokenizer).
 
@@ -35,6 +47,7 @@ class ForcedBoundaryBpe:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         spec = json.loads(open(path, encoding="utf-8").read())
         lib = Tokenizer.from_file(path)
@@ -42,13 +55,16 @@ class ForcedBoundaryBpe:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
-        self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+        self.merge_last = lib.model.tokenize
+        self.merge_inner = BPE(vocab=self.vocab, merges=[tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]).tokenize
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         bare = (t.removesuffix(self.end) if self.end else t for t in self.vocab)
         self.inside = {t[i : i + 2] for t in bare for i in range(len(t) - 1)}
-        self.fragment = Memo(self._fragment, 200_000)
+        self.fragment = Memo(self._fragment, 150_000)
+        self.in_bytes = Memo(lambda c: lib.pre_tokenizer.pre_tokenize_str(c)[0][0])
+        self.piece = Memo(self._plain, 300_000)
 
     def fragments(self, piece: str) -> list[tuple[str, bool]]:
         """(fragment, is last) of a pre-token in the byte alphabet."""
@@ -60,42 +76,32 @@ class ForcedBoundaryBpe:
         return [*out, (piece[at:], True)]
 
     def _fragment(self, key: tuple[str, bool]) -> list[int]:
-        """Merge the lowest-ranked neighbouring pair, leftmost first, until none is left."""
+        """Merge the lowest-ranked neighbouring pair, leftmost first, until none is left: with the word end on the last fragment, without on others."""
         part, last = key
-        sym: list[str | None] = list(part)
-        if last:
-            sym[-1] += self.end
-        n, ranks = len(sym), self.ranks
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := ranks.get((sym[i], sym[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if sym[i] != a or j >= n or sym[j] != b:
-                continue
-            sym[i], sym[j] = a + b, None
-            nxt[i] = k = nxt[j]
-            if k < n:
-                prv[k] = i
-                if (r := ranks.get((sym[i], sym[k]))) is not None:
-                    heapq.heappush(heap, (r, i, sym[i], sym[k]))
-            if (h := prv[i]) >= 0 and (r := ranks.get((sym[h], sym[i]))) is not None:
-                heapq.heappush(heap, (r, h, sym[h], sym[i]))
-        return [self.vocab[s] for s in sym if s is not None]
+        return [t.id for t in (self.merge_last if last else self.merge_inner)(part)]
 
     def word(self, word: str) -> list[int]:
-        """Ids of a run without white space."""
+        """Ids of a run without white space. Pre-tokens keep their ids, so a word that differs only in case or marks costs a look-up."""
         ids: list[int] = []
+        if (plain := plain_pieces(word)) is not None:
+            for p in plain:
+                ids += self.piece[p]
+            return ids
         for part in self.cut_special.split(word) if "<|" in word else (word,):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
-                for piece, _ in self.pre_tokenize(self.normalize(part)):
-                    for f in self.fragments(piece):
-                        ids += self.fragment[f]
+                ids += self._piece(part)
         return ids
 
+    def _plain(self, p: str) -> list[int]:
+        """Ids of a pre-token of common letters in lower case; in the byte alphabet ASCII letters and digits stand for themselves."""
+        alpha = p if p.isascii() and p.isalnum() else "".join(map(self.in_bytes.__getitem__, p))
+        return [i for f in self.fragments(alpha) for i in (self.fragment[f] if not f[1] else self._fragment(f))]
+
+    def _piece(self, part: str) -> list[int]:
+        return [i for piece, _ in self.pre_tokenize(self.normalize(part)) for f in self.fragments(piece) for i in (self.fragment[f] if not f[1] else self._fragment(f))]
+
     def encode(self, text: str) -> list[int]:
         return [i for w in white_words(text) for i in self.word(w)]
 
