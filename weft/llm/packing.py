@@ -4,19 +4,38 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, bisect_right, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import white_words
+from .bpe import plain_pieces, white_words
 from .common import Memo, numbered, stash
 
 #: A group of equal sequences: runs (length, how many of it in a sequence) in order, and the number of such sequences.
 Group = tuple[tuple[tuple[int, int], ...], int]
 
 
+@lru_cache(maxsize=4)
+def word_ids(path: str) -> Memo:
+    """Little-endian 32-bit ids of a word, from those of its pre-tokens; each is encoded by the tokenizers library once in a Python worker (as long as the bounded tables hold it)."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    encode = lambda x: np.array(lib.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    in_bytes = Memo(lambda c: lib.pre_tokenizer.pre_tokenize_str(c)[0][0])  # a letter in the byte alphabet
+    merge = lib.model.tokenize
+    piece = Memo(lambda p: np.array([t.id for t in merge(p if p.isalnum() and p.isascii() else "".join(map(in_bytes.__getitem__, p)))], "<u4").tobytes(), 400_000)
+
+    def word(w: str) -> bytes:
+        p = plain_pieces(w)
+        return encode(w) if p is None else piece[p[0]] if len(p) == 1 else b"".join(map(piece.__getitem__, p))
+
+    return Memo(word, 300_000)
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of each piece: a document's ids and end_id, cut only where it is longer than capacity.
 
@@ -24,10 +43,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int =
     """
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        lib = Tokenizer.from_file(path)
-        memo = Memo(lambda w: np.array(lib.encode(w, add_special_tokens=False).ids, "<u4").tobytes(), 400_000)
+        memo = word_ids(path)
         end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             for i in range(0, b.num_rows, 512):
