@@ -58,15 +58,16 @@ def rules() -> list[dict]:
         out.append({"id": len(out), "keyword": keyword, "pattern": f"(?<![^ ]){pattern}{end}", "label": label, "level": _LEVELS.index(priority), "confidence": confidence})
 
     for name, label, versions in FAMILIES:
-        keyword = next(k for k in GATE if k in name.replace("licen[cs]e", "licen"))
+        # the longest plain part of the name, so that few rules search a document
+        keyword = max(re.split(r"\(.*?\)|.\?", name.replace("licen[cs]e", "licen")), key=len).strip()
         add(keyword, name, label, 10, 0.6)
         add(keyword, f"(?:licen[cs]ed|released|distributed|available|published|provided|covered) (?:under|by) (?:the )?(?:terms (?:and conditions )?of (?:the )?)?{name}", label, 20, 0.9)
         for v in versions.split():
             number = v.replace(".", " ") if not v.endswith(".0") else f"{v[:-2]}(?: 0)?"
             add(keyword, f"{name} (?:version |v )?v?{number}", f"{label}-{v}", 30, 0.95)
         spdx = label.replace("-", " ")
-        add("licen", f"spdx licen[cs]e identifier {spdx}(?: [0-9]+){{0,2}}(?: only| or later)?", label, 40, 1.0)
-        add("licen", f"(?:not|never) (?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{name}", f"not-{label}", 50, 0.8)
+        add("spdx licen", f"spdx licen[cs]e identifier {spdx}(?: [0-9]+){{0,2}}(?: only| or later)?", label, 40, 1.0)
+        add(keyword, f"(?:not|never) (?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{name}", f"not-{label}", 50, 0.8)
     for pattern, keyword, label, confidence in PHRASES:
         add(keyword, pattern, label, 10, confidence)
     return out
@@ -93,9 +94,13 @@ def _spans(words: Column, rule: Column) -> Column:
 
 def detections(words: Column, table: list[dict]) -> Column:
     """All matches of all rules whose keyword the document holds, sorted by start, longest first, then by priority."""
-    kind = "array<struct<id:int,keyword:string,pattern:string,label:string,level:int,confidence:double>>"
-    every = F.from_json(F.lit(json.dumps(table)), kind)
-    found = F.flatten(F.transform(F.filter(every, lambda r: F.contains(words, r["keyword"])), lambda r: _spans(words, r)))
+    kind = "array<struct<keyword:string,rules:array<struct<id:int,pattern:string,label:string,level:int,confidence:double>>>>"
+    groups: dict[str, list[dict]] = {}
+    for r in table:
+        groups.setdefault(r["keyword"], []).append({k: v for k, v in r.items() if k != "keyword"})
+    every = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": v} for k, v in groups.items()])), kind)
+    asked = F.flatten(F.transform(F.filter(every, lambda g: F.contains(words, g["keyword"])), lambda g: g["rules"]))
+    found = F.flatten(F.transform(asked, lambda r: _spans(words, r)))
     order = F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["past"]).alias("less"), (-d["level"]).alias("rank"), d["id"].alias("id"), d["label"].alias("label"), d["confidence"].alias("confidence")))
     return F.sort_array(order)
 
