@@ -18,14 +18,28 @@ _S = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f" ?[^{_S}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 
 
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
+_PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
+_BREAKS = re.compile("[\x85\xa0]")
+
+
 @lru_cache(maxsize=4)
 def piece_counts(path: str) -> Memo:
-    """Pieces of each distinct run, counted once in a Python worker (and again only after its bounded table was full)."""
+    """Pieces of each distinct run, from those of its pre-tokens; both are counted once in a Python worker (and again only after its bounded tables were full)."""
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(path)
-    memo = Memo(lambda run: len(lib.encode(run, add_special_tokens=False).ids), 400_000)
     special = [t.content for t in lib.get_added_tokens_decoder().values()]
+    merge = lib.model.tokenize
+    in_bytes = Memo(lambda c: lib.pre_tokenizer.pre_tokenize_str(c)[0][0])  # a character in the byte alphabet
+    pre_token = Memo(lambda p: len(merge("".join(map(in_bytes.__getitem__, p)))), 250_000)
+
+    def run_count(run: str) -> int:
+        if run not in special and (run.isascii() or max(run) < "ɐ" and not _BREAKS.search(run)):  # pre-tokens of common letters; each is counted once
+            return sum(map(pre_token.__getitem__, _PRE_TOKENS(run)))
+        return len(lib.encode(run, add_special_tokens=False).ids)
+
+    memo = Memo(run_count, 250_000)
     memo.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
     return memo
 
