@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Entries a word cache of one Python worker holds before it starts again (about 100 MB).
-CACHE_ENTRIES = 400_000
+#: Entries a word cache of one Python worker holds before it starts again (about 30 MB for numbers).
+CACHE_ENTRIES = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:

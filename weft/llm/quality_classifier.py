@@ -29,7 +29,7 @@ def _slot(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % TERMS
 
 
-_terms = Memo(lambda w: (_slot("s:" + shape(w)), _slot(f"l:{min(len(w), 15)}")), 300_000)
+_terms = Memo(lambda w: (_slot("s:" + shape(w)), _slot(f"l:{min(len(w), 15)}")), 150_000)
 
 
 def term_weights(text: str | None) -> np.ndarray:
