@@ -5,10 +5,13 @@ import pytest
 
 from weft import encoding as enc
 from weft.encoding import Encoding, EncodingError
+from weft.functions.timing import timed
 from weft.operators import decompose as dec
 from weft.operators import indirect, kernels
 from weft.operators import primitives as prim
+from weft.plans.inspect import plan_nodes
 from weft.sources import mtx
+from weft.streaming.incremental import streaming_spmv
 from weft.tensor import SparseTensor, struct_convert, whole
 
 ROWS = [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0), (3, 0, 5.0), (3, 3, 6.0), (3, 4, 7.0)]
@@ -169,6 +172,25 @@ def test_empty(spark):
 
 def test_plan_of_spmv(spark, small):
     b = spark.createDataFrame([(0, 1.0)], "j long, b double")
-    plan = kernels.spmv(small, b)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    nodes = plan_nodes(kernels.spmv(small, b))
+    assert nodes["BroadcastHashJoin"] == 1 and nodes["Exchange"] == 1 and nodes["HashAggregate"] == 2
     assert small.convert(enc.COO) is small
+
+
+def test_streaming_spmv(spark, tmp_path, small):
+    small.df.repartition(3).write.parquet(str(tmp_path / "entries"))
+    b = spark.range(6).selectExpr("id AS j", "CAST(id + 1 AS DOUBLE) AS b")
+    stream = spark.readStream.schema(small.df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "entries"))
+    q = streaming_spmv(stream, b).writeStream.outputMode("complete").format("memory").queryName("products").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert rows(spark.table("products"), "i", "x") == rows(kernels.spmv(small, b), "i", "x")
+
+
+def test_timed_and_release(small, capsys):
+    import sys
+
+    with timed("spmv", sys.stdout):
+        small.df.count()
+    assert "spmv" in capsys.readouterr().out
+    small.copy().release()

@@ -61,6 +61,10 @@ class SparseTensor:
     def copy(self) -> SparseTensor:
         return self
 
+    def release(self) -> None:
+        """Give up cached data, if there is any."""
+        self.df.unpersist()
+
     def check(self, other: SparseTensor) -> bool:
         """Whether both hold the same entries, duplicates counted."""
         if self.shape != other.shape:
