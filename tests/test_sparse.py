@@ -173,7 +173,7 @@ def test_empty(spark):
 def test_plan_of_spmv(spark, small):
     b = spark.range(6).selectExpr("id AS j", "CAST(id AS DOUBLE) AS b")
     nodes = plan_nodes(kernels.spmv(small, b))
-    assert nodes["BroadcastHashJoin"] == 1 and nodes["Exchange"] == 1 and nodes["HashAggregate"] == 2
+    assert nodes["BroadcastHashJoin"] == 1 and nodes["Exchange"] <= 1 and nodes["HashAggregate"] == 2
     assert small.convert(enc.COO) is small
 
 
