@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Memo, stash
+from .common import Memo, cell, stash
 
 _hash = Memo(xxhash.xxh3_64_intdigest)
 _U = np.uint64
@@ -61,12 +61,6 @@ def measured(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
-def cell(v: Column) -> Column:
-    """Lower end of the sketch cell of a whole number: exact under 64, then 32 cells an octave (relative error under 1/32)."""
-    shift = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
-    return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
-
-
 def thresholds(m: DataFrame, least_docs: int = 100, reach: float = 3.0) -> DataFrame:
     """(lang, source, t_<measure>...): upper fence q3 + reach * max(q3 - q1, slack) of each measure.
 
