@@ -86,13 +86,15 @@ def einsum(expression: str, *operands: DataFrame, combine=None, how: str = "sum"
         raise ValueError("as many operands as terms")
     if missing := set(out) - set(left):
         raise ValueError(f"no operand has {sorted(missing)}")
+    have = set(names[0])
+    for n in names[1:]:
+        if not have & set(n):
+            raise ValueError("an operand shares no index with those before it")
+        have |= set(n)
     parts = [x.select(*n, F.col("v").alias(f"_v{k}")) for k, (n, x) in enumerate(zip(names, operands))]
     d, have = parts[0], set(names[0])
     for p, n in zip(parts[1:], names[1:]):
-        shared = sorted(have & set(n))
-        if not shared:
-            raise ValueError("an operand shares no index with those before it")
-        d, have = d.join(p, shared), have | set(n)
+        d, have = d.join(p, sorted(have & set(n))), have | set(n)
     values = [F.col(f"_v{k}") for k in range(len(parts))]
     v = combine(*values) if combine else fold(lambda x, y: x * y, values)
     return d.groupBy(*out).agg(REDUCTIONS[how](v).alias("v"))
