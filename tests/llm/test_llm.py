@@ -297,6 +297,35 @@ def test_tail_counts_are_joined(spark, texts, monkeypatch):
         assert a["n_known"] == b["n_known"] and a["base_score"] == pytest.approx(b["base_score"], rel=1e-9, abs=1e-9)
 
 
+def test_words_without_an_output_follow_their_context(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "HELD", 3)
+    bucket = lambda w: (int(language_model.tokens(w)[0]) >> 40) % 63
+    a = "wa0"
+    b = next(w for w in (f"wb{k}" for k in range(9999)) if bucket(w) == bucket(a))
+    train = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2][:60]
+    test = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    made = [(i, f"the of and the of and the of and {x} {w}") for k, i in enumerate(train) for x, w in [(("left", a), ("right", b))[k % 2]]]
+    made += [(i, f"the of and {x} {w}") for i, (x, w) in zip(test, [("left", a), ("left", b), ("right", a), ("right", b)])]
+    made += [(9990, None)]
+    got = {r["doc_id"]: r["score"] for r in rows(language_model.lm_scores(spark.createDataFrame(made, "doc_id long, text string"), steps=2))}
+    la, lb, ra, rb = (got[i] for i in test)
+    assert la > lb + 0.05 and rb > ra + 0.05
+
+
+def test_tail_scores_sum_to_one():
+    rng = np.random.default_rng(5)
+    w, c1, c2 = rng.integers(0, 30, 500).astype(np.uint64), rng.integers(0, 6, 500), rng.integers(0, 6, 500)
+    train = rng.random(500) < 0.8
+    after = np.array([np.bincount(c[train], minlength=6) for c in (c1, c2)])
+    rare = float(train.sum() + len(set(w[train])) + 1)
+    for x, y in ((0, 3), (5, 5)):
+        every = np.arange(30, dtype=np.uint64)
+        p, c = language_model.tail_scores(np.r_[w, every], np.r_[c1, np.full(30, x)], np.r_[c2, np.full(30, y)], np.r_[train, np.zeros(30)].astype(float), after, rare)
+        unseen = language_model.tail_scores(np.array([99], np.uint64), np.array([x]), np.array([y]), np.zeros(1), after, rare)[0]
+        seen = c[500:] > 0
+        assert (10.0 ** p[500:][seen]).sum() + 10.0 ** unseen[0] == pytest.approx(1)
+
+
 def test_licenses(spark, texts):
     extra = [
         "Licensed under the Apache License, Version 2.0.", "CC-BY cc by 4.0 cc by", "The GNU General Public License v3; not licensed under the MIT License", "MIT-License MIT LICENSE mit  license",

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,12 @@ _PER = WORDS // CLASSES
 #: Most frequent words whose counts are broadcast (16 bytes each, 4 MB); counts of the others are joined.
 HELD = 1 << 18
 _FLUSH = 4_000_000
+#: Distinct words that share a context bucket beside the held words, which have a context each.
+SHARE = 64
+#: Weight of the coarser distribution in each context of other words, in tokens.
+PULL = 200.0
+#: Tail tokens that go out together, and those of one part of the words.
+_CHUNK, _PART = 1_000_000, 500_000
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -78,6 +85,22 @@ class Vocabulary:
     distinct: int
     rare: float
 
+    @property
+    def contexts(self) -> int:
+        """Number of contexts: held words, the start of a text, and buckets in proportion to the other distinct words."""
+        return len(self.h) + 1 + max(64, (self.distinct - len(self.h)) // SHARE)
+
+    def before(self, h: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of each token: the last word, and the one before it."""
+        k = len(self.h)
+        b = np.where(rows >= 0, rows, k + 1 + ((h >> _U(20)) % _U(self.contexts - k - 1)).astype(np.int64))
+        c1, c2 = np.full(len(h), k), np.full(len(h), k)
+        c1[1:], c2[2:] = b[:-1], b[:-2]
+        c1[starts] = c2[starts] = k
+        second = starts + 1
+        c2[second[second < len(h)]] = k
+        return c1, c2
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """Row of each token, -1 for those that aren't held."""
         if not len(self.h):
@@ -122,20 +145,24 @@ def statistics(docs: DataFrame, v: Vocabulary) -> DataFrame:
     """(kind, ctx, y, n): how often each outcome follows each hashed context, over all documents.
 
     Kind 0: class y after (word before last, last word); kind 1: word y after (coarse, last word). These are all that gradients of the model need; their
-    number is bounded by the buckets, whatever the corpus.
+    number is bounded by the buckets, whatever the corpus. Kinds 2 and 3: words without an output of their own after a last word, or after a word before last.
     """
     held = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches):
         a, w = np.zeros(NEAR * FAR * (CLASSES + 1), np.int64), np.zeros(NEAR * COARSE * WORDS, np.int64)
+        after = np.zeros((2, held.value.contexts), np.int64)
         for _, h, starts, _ in _blocks(batches, 0):
             p1, p2 = _contexts(h, starts)
-            rank = held.value.ranks(held.value.find(h))
+            rows = held.value.find(h)
+            rank = held.value.ranks(rows)
             own = rank < WORDS
+            for x, c in zip(after, held.value.before(h, rows, starts)):
+                np.add.at(x, c[~own], 1)
             cls = np.where(own, rank // _PER + 1, 0)
             a += np.bincount((p2 * NEAR + p1) * (CLASSES + 1) + cls, minlength=len(a))
             w += np.bincount(((p2[own] % COARSE) * NEAR + p1[own]) * WORDS + rank[own], minlength=len(w))
-        for kind, x, k in ((0, a, CLASSES + 1), (1, w, WORDS)):
+        for kind, x, k in ((0, a, CLASSES + 1), (1, w, WORDS), (2, after[0], 1), (3, after[1], 1)):
             at = np.flatnonzero(x)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array((at // k).astype(np.int32)), pa.array((at % k).astype(np.int32)), pa.array(x[at])], ["kind", "ctx", "y", "n"])
 
@@ -174,7 +201,7 @@ def train(cells: DataFrame, v: Vocabulary, steps: int = 8, rate: float = 0.6, pr
     driver moves each weight by its gradient over the larger of the two plus `prior`. Messages have the size of the weights, a few MB, for at most four tasks.
     """
     w = start_weights(v)
-    cells = cells.coalesce(4)  # the table is bounded by the buckets
+    cells = cells.where("kind < 2").coalesce(4)  # this part of the table is bounded by the buckets
     spark = cells.sparkSession
     for _ in range(steps):
         held = spark.sparkContext.broadcast(w)
@@ -219,14 +246,61 @@ def log_tables(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         return tuple(np.log10(np.maximum(_softmax(k, _logits(k, w, np.arange(len(w[f"j{k}"])))), 1e-30)) for k in (0, 1))
 
 
+def totals(cells: DataFrame, v: Vocabulary) -> np.ndarray:
+    """[last word, word before last][context]: number of words without an output of their own that follow, in training."""
+    out = np.zeros((2, v.contexts))
+    t = cells.where("kind >= 2").select("kind", "ctx", "n").toArrow()
+    kind, ctx, n = (t.column(i).to_numpy() for i in range(3))
+    out[kind - 2, ctx] = n
+    return out
+
+
+def tail_scores(w: np.ndarray, c1: np.ndarray, c2: np.ndarray, train: np.ndarray, after: np.ndarray, rare: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability, count in training) of tokens of class 0, given every token of their words.
+
+    The word's add-one share among all of class 0 is the base of a log-linear model with a feature for each seen (word before last, word), and that is the
+    base of one for each seen (last word, word). Features of a context never meet, so the weights that maximise entropy under the seen counts with PULL tokens
+    of the base have a closed form: P = (n(context, word) + PULL * base) / (n(context) + PULL). It sums to 1 over the words of class 0 and one unseen.
+    """
+    each, at = np.unique(w, return_inverse=True)
+    count = np.bincount(at, train, len(each))[at]
+    p = (count + 1) / max(rare, 1.0)
+    for c, total in ((c2, after[1]), (c1, after[0])):
+        _, cell_at = np.unique(at * np.int64(after.shape[1]) + c, return_inverse=True)
+        p = (np.bincount(cell_at, train)[cell_at] + PULL * p) / (total[c] + PULL)
+    return np.log10(p), count.astype(np.int64)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    return b"".join([np.array([len(x) for x in arrays], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
+
+
+def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, np.int64, len(types))
+    out, at = [], 8 * len(types)
+    for n, t in zip(sizes, types):
+        out.append(np.frombuffer(data, t, n, at))
+        at += out[-1].nbytes
+    return out
+
+
+_MESSAGE = "chunk long, part int, data binary"
+
+
+def _table(messages: list[tuple[int, int, bytes]]) -> pa.Table:
+    chunk, part, data = zip(*messages) if messages else ((), (), ())
+    return pa.table([pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["chunk", "part", "data"])
+
+
 def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, steps: int = 8) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document.
 
     Training documents are those with crc32(doc_id as text) mod folds other than `held` (a null doc_id trains). base_score is the add-one unigram log10
     probability. score is the model's: class from hashed last word, word before it (skip) and their pair; then a frequent word from its class and the
-    same kinds of features, or any other word from class 0 by its add-one share of what frequent words leave. So P sums to 1 over words and one unseen.
+    same kinds of features, or any other word from class 0 by its counts after the last word and the skip word (tail_scores). So P sums to 1 over words and one unseen.
 
-    Counts of the HELD most frequent words are broadcast; a document's other words are joined to the full table by hash and added up.
+    Words outside the frequent ones are dealt by hash to parts, in proportion to their tokens: a part has every token of its words, counts (context, word) over those
+    of training documents, and sends each document's sum back to the chunk it came from. Tokens travel in packed blocks, once there and once back.
     Null or empty text: the end alone. No training documents: every token has probability 1. Repeated rows count each; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -236,38 +310,89 @@ def lm_scores(docs: DataFrame, folds: int = 7, held: int = 2, steps: int = 8) ->
     v = vocabulary(counts)
     cells = stash(statistics(d.where(~F.col("held_out")), v), "cells")
     tables = spark.sparkContext.broadcast((v, *log_tables(train(cells, v, steps))))
-    drop_stash(cells)
+    after = spark.sparkContext.broadcast(totals(cells, v))
+    drop_stash(counts, cells)
+    parts = max(128, int(v.total - v.c[v.rank < WORDS].sum()) // _PART)
+    rare = v.rare
 
-    def run(batches):
+    def send(batches):
         v, by_class, by_word = tables.value
         logs = np.log10(v.c + 1.0)
+        first, number = TaskContext.get().partitionId() << 32, 0
+        held, docs, n_docs, n_tail = [], [], 0, 0
+
+        def flush():
+            chunk = first + number
+            w, c1, c2, doc, loose = (np.concatenate(x) for x in zip(*held))
+            part = (w >> _U(8)) % _U(parts)
+            order = np.lexsort((w, part))
+            w, c1, c2, doc, loose, part = (x[order] for x in (w, c1, c2, doc, loose, part))
+            cut = np.searchsorted(part, np.arange(parts + 1, dtype=_U))
+            out = []
+            for k in np.flatnonzero(np.diff(cut)):
+                s = slice(cut[k], cut[k + 1])
+                each, start, n = np.unique(w[s], return_index=True, return_counts=True)
+                out.append((chunk, int(k), _pack(each, n.astype(np.int32), loose[s][start], c1[s].astype(np.int32), c2[s].astype(np.int32), doc[s])))
+            t = pa.Table.from_batches(docs)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, t.schema) as writer:
+                writer.write_table(t)
+            out.append((chunk, parts + chunk % parts, sink.getvalue().to_pybytes()))
+            return _table(out).to_batches()
+
         for c, h, starts, n in _blocks(batches, 1):
             rows = v.find(h)
             rank = v.ranks(rows)
             p1, p2 = _contexts(h, starts)
+            c1, c2 = v.before(h, rows, starts)
             own, known = rank < WORDS, rows >= 0
             lm = by_class[p2 * NEAR + p1, np.where(own, rank // _PER + 1, 0)]
             lm[own] += by_word[(p2[own] % COARSE) * NEAR + p1[own], rank[own]]
             base = logs[np.maximum(rows, 0)] * known if len(logs) else np.zeros(len(h))
             add = lambda x: np.add.reduceat(x, starts)
-            tail = np.flatnonzero(~known)
-            at = np.repeat(np.arange(len(n)), n)[tail]
-            lists, freqs = [], []
-            cut = np.searchsorted(at, np.arange(len(n) + 1))
-            for k in range(len(n)):
-                u, f = np.unique(h[tail[cut[k] : cut[k + 1]]], return_counts=True)
-                lists.append(u.view(np.int64))
-                freqs.append(f.astype(np.int32))
-            arrays = [c.column(0), c.column(2), pa.array(n.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(base * ~own)), pa.array(add((~own).astype(np.int64))), pa.array(add(lm)), pa.array(lists, pa.list_(pa.int64())), pa.array(freqs, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "known", "base", "rare", "n_rare", "lm", "hs", "fs"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, base double, rare double, n_rare long, lm double, hs array<long>, fs array<int>"
-    scored = stash(d.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    tail = scored.select("row", F.explode(F.arrays_zip("hs", "fs")).alias("x")).select("row", F.col("x.hs").alias("h"), F.col("x.fs").alias("f"))
-    tail = tail.join(counts, "h").groupBy("row").agg(F.sum("f").alias("tk"), F.sum(F.col("f") * F.log10(F.col("c") + 1)).alias("tb"))
-    out = scored.drop("hs", "fs").join(tail, "row", "left")
-    tb, unit, rare = F.coalesce("tb", F.lit(0.0)), float(np.log10(v.total + v.distinct + 1.0)), float(np.log10(max(v.rare, 1.0)))
+            trains = ~c.column(2).to_numpy(zero_copy_only=False)
+            doc = np.repeat((np.arange(len(n)) + n_docs) | (trains.astype(np.int64) << 15), n).astype(np.uint16)
+            held.append((h[~own], c1[~own], c2[~own], doc[~own], ~known[~own]))
+            arrays = [c.column(0), c.column(2), pa.array(n.astype(np.int64)), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(lm))]
+            docs.append(pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "known", "base", "lm"]))
+            n_docs, n_tail = n_docs + len(n), n_tail + int((~own).sum())
+            if n_tail >= _CHUNK or n_docs > 32_000:
+                yield from flush()
+                held, docs, n_docs, n_tail, number = [], [], 0, 0, number + 1
+        if docs:
+            yield from flush()
+
+    def score(key, t):
+        if key[0].as_py() >= parts:
+            return t
+        got = [_unpack(x.as_py(), "<u8", "<i4", "?", "<i4", "<i4", "<u2") for x in t.column("data")]
+        w = np.concatenate([np.repeat(x[0], x[1]) for x in got])
+        c1, c2, doc = (np.concatenate([x[k] for x in got]) for k in (3, 4, 5))
+        p, count = tail_scores(w, c1, c2, (doc >> 15).astype(np.float64), after.value, rare)
+        out, at = [], 0
+        for chunk, x in zip(t.column("chunk").to_pylist(), got):
+            s = slice(at, at + len(x[5]))
+            at = s.stop
+            each, inverse = np.unique(x[5] & 32767, return_inverse=True)
+            loose = np.repeat(x[2], x[1])
+            out.append((chunk, key[0].as_py(), _pack(each, np.bincount(inverse, p[s]).astype(np.float32), (x[5] & 32767)[loose], count[s][loose])))
+        return _table(out)
+
+    def add_up(t):
+        t = t.sort_by("part")
+        d = pa.ipc.open_stream(t.column("data")[-1].as_py()).read_all()
+        lm, base, known = (d.column(k).to_numpy().copy() for k in ("lm", "base", "known"))
+        for x in t.column("data")[:-1]:
+            each, p, doc, c = _unpack(x.as_py(), "<u2", "<f4", "<u2", "<i8")
+            lm[each] += p
+            base += np.bincount(doc, np.log10(c + 1.0), len(base))
+            known += np.bincount(doc, c > 0, len(base)).astype(np.int64)
+        return pa.table([*(d.column(k) for k in ("doc_id", "held_out", "n_tokens")), pa.array(known), pa.array(base), pa.array(lm)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "lm"])
+
+    scored = d.mapInArrow(send, _MESSAGE).groupBy("part").applyInArrow(score, _MESSAGE)
+    out = scored.groupBy("chunk").applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, lm double")
+    unit = float(np.log10(v.total + v.distinct + 1.0))
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("tk", F.lit(0))).alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"),
-        (F.col("base") + tb - F.col("n_tokens") * unit).alias("base_score"), (F.col("lm") + F.col("rare") + tb - F.col("n_rare") * rare).alias("score"),
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(v.total).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * unit).alias("base_score"), F.col("lm").alias("score"),
     )
