@@ -37,3 +37,11 @@ def test_schedule_is_balanced(spark):
     r = q.queries()["cisr_schedule"](spark, DATA)
     loads = [x[1] for x in r.groupBy("bucket").sum("nnz").collect()]
     assert max(loads) - min(loads) <= r.agg({"nnz": "max"}).first()[0]
+
+
+def test_every_row_is_reduced(spark, db):
+    got = q.queries()["whole_reduce_sum"](spark, DATA)
+    assert got.count() == db.sql("select count(distinct l_orderkey) from lineitem").fetchall()[0][0]
+    assert got.agg({"x": "sum"}).first()[0] == db.sql("select sum(l_linenumber) from lineitem").fetchall()[0][0]
+    x = q.queries()["whole_spmv_dense_out"](spark, DATA)
+    assert x.where("x <> 0").count() == db.sql("select count(distinct l_suppkey) from lineitem").fetchall()[0][0] == q.queries()["whole_dcsr_ptr"](spark, DATA).count() - 1

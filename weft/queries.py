@@ -365,6 +365,38 @@ _reduction("or", "bit_or(CAST(l_linenumber AS BIGINT))", "long")
 _reduction("xor", "bit_xor(CAST(l_linenumber AS BIGINT))", "long")
 
 
+# The filters of reduce_*, spmv_dense_out and dcsr_ptr are in their SQL; these do the same over every row.
+
+
+def _whole_reduction(how, sql, cast):
+    def f(spark, d):
+        t = SparseTensor.from_table(_t(spark, d, "lineitem"), "l_orderkey", "l_suppkey", F.col("l_linenumber").cast(cast), (0, 0))
+        return kernels.reduce(t, how)
+
+    f.__name__ = f"whole_reduce_{how}"
+    _query(f"SELECT l_orderkey AS i, {sql} AS x FROM lineitem GROUP BY 1")(f)
+
+
+_whole_reduction("sum", "sum(CAST(l_linenumber AS DOUBLE))", "double")
+_whole_reduction("product", "product(CAST(l_linenumber AS DOUBLE))", "double")
+_whole_reduction("and", "bit_and(CAST(l_linenumber AS BIGINT))", "long")
+_whole_reduction("or", "bit_or(CAST(l_linenumber AS BIGINT))", "long")
+_whole_reduction("xor", "bit_xor(CAST(l_linenumber AS BIGINT))", "long")
+
+
+@_query(f"SELECT r.range AS i, coalesce(x, 0.0) AS x FROM range({_M}) r LEFT JOIN (SELECT a.i, sum(a.v * p.p_size) AS x FROM ({_SP}) a JOIN part p ON p.p_partkey = a.j GROUP BY a.i) s ON s.i = r.range")
+def whole_spmv_dense_out(spark, d):
+    return kernels.spmv(_supp_part(spark, d), _sizes(spark, d), dense=True)
+
+
+_DW = f"SELECT i, count(*) AS c FROM ({_SPC}) GROUP BY i"
+
+
+@_query(f"SELECT row_number() OVER (ORDER BY i) - 1 AS pos, CAST(coalesce(sum(c) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS x FROM ({_DW}) UNION ALL SELECT count(*), CAST(coalesce(sum(c), 0) AS BIGINT) FROM ({_DW})")
+def whole_dcsr_ptr(spark, d):
+    return _supp_part(spark, d).coalesced().convert(enc.DCSR).storage().ptr(0)
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _ALL.items()}
 
