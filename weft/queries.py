@@ -397,6 +397,71 @@ def whole_dcsr_ptr(spark, d):
     return _supp_part(spark, d).coalesced().convert(enc.DCSR).storage().ptr(0)
 
 
+# _SQ folds the keys of the diagonal and block queries; these do the same on the whole supplier x part matrix.
+
+
+def _whole(spark, d) -> SparseTensor:
+    return _supp_part(spark, d).coalesced()
+
+
+_B3W = f"SELECT b.range AS k, c.range AS j, CAST(b.range * 1000 + c.range AS DOUBLE) AS b FROM range({_N}) b, range(3) c"
+_SPMV_W = f"SELECT i, sum(v * (j + 1)) AS x FROM ({_SPC}) GROUP BY i"
+_SPMM_W = f"SELECT a.i, m.j, sum(a.v * m.b) AS x FROM ({_SPC}) a JOIN ({_B3W}) m ON m.k = a.j GROUP BY a.i, m.j"
+
+
+@_query(_SPMV_W)
+def whole_dia_spmv(spark, d):
+    # a whole diagonal is one block of as many places as the matrix has rows; blocked diagonals keep blocks short at any size
+    t = _whole(spark, d).convert(enc.bdia(8))
+    return kernels.blocks_spmv(t.storage().blocks(), t, _dense_vector(spark, t.shape[1]))
+
+
+@_query(_SPMM_W)
+def whole_dia_spmm(spark, d):
+    t = _whole(spark, d).convert(enc.bdia(8))
+    return kernels.blocks_spmm(t.storage().blocks(), t, _dense_matrix(spark, t.shape[1]))
+
+
+@_query(_SPMV_W)
+def whole_bdia_spmv(spark, d):
+    t = _whole(spark, d)
+    return kernels.hybrid_spmv(dec.decompose_bdia(t, 8, 0.5), _dense_vector(spark, t.shape[1]))
+
+
+@_query(_SPMM_W)
+def whole_bdia_spmm(spark, d):
+    t = _whole(spark, d)
+    return kernels.hybrid_spmm(dec.decompose_bdia(t, 8, 0.5), _dense_matrix(spark, t.shape[1]))
+
+
+@_query(f"SELECT j - i AS l0, count(*) AS n, sum(v) AS x FROM ({_SPC}) GROUP BY 1")
+def whole_dia_diagonals(spark, d):
+    return _whole(spark, d).convert(enc.DIA1).levels().groupBy("l0").agg(F.count("*").alias("n"), F.sum("v").alias("x"))
+
+
+@_query(f"SELECT i // 8 AS l0, j - i AS l1, count(*) AS n, sum(v) AS x FROM ({_SPC}) GROUP BY 1, 2")
+def whole_bdia_diagonals(spark, d):
+    return _whole(spark, d).convert(enc.bdia(8)).levels().groupBy("l0", "l1").agg(F.count("*").alias("n"), F.sum("v").alias("x"))
+
+
+@_query(f"SELECT i, j, v, CAST(CASE WHEN n >= 4 THEN 0 ELSE 1 END AS INTEGER) AS part FROM (SELECT *, count(*) OVER (PARTITION BY i // 8, j - i) AS n FROM ({_SPC}))")
+def whole_decompose_bdia(spark, d):
+    one, two = dec.decompose_bdia(_whole(spark, d), 8, 0.5)
+    return one.df.withColumn("part", F.lit(0)).unionByName(two.df.withColumn("part", F.lit(1)))
+
+
+@_query(_SPC)
+def whole_devectorize_blocks(spark, d):
+    t = _whole(spark, d).convert(enc.bcsr(4, 4))
+    return kernels.from_blocks(t.storage().blocks(), t).df
+
+
+@_query(f"SELECT i % 4 AS l0, i // 4 AS l1, j - i AS l2, v FROM ({_SPC})")
+def whole_primitive_chain(spark, d):
+    x = prim.sub(_whole(spark, d).convert(enc.COO).levels(), 1, 0)
+    return prim.swap(prim.tile_split(x, 0, 4), 0, 1)
+
+
 def queries() -> dict:
     return {k: f for k, (f, _) in _ALL.items()}
 
