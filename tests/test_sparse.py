@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from weft import encoding as enc
@@ -138,6 +139,39 @@ def test_indirect(small):
         indirect.schedule(n, 2, limit=3)
 
 
+def greedy(nnz, buckets):
+    loads, out = [0] * buckets, []
+    for x in nnz:
+        b = min(range(buckets), key=lambda k: (loads[k], k))
+        loads[b] += x
+        out.append(b)
+    return out
+
+
+@pytest.mark.parametrize("buckets", [1, 2, 3, 8])
+def test_schedule_by_runs(spark, buckets):
+    rng = random.Random(buckets)
+    for most, hot in ((3, []), (40, [500, 90]), (7, [1000])):
+        nnz = sorted([rng.randint(0, most) for _ in range(300)] + hot, reverse=True)
+        want, loads, at = greedy(nnz, buckets), np.zeros(buckets, np.int64), 0
+        for x in sorted(set(nnz), reverse=True):
+            n = nnz.count(x)
+            assert indirect._placed(loads, x, np.arange(n)).tolist() == want[at : at + n]
+            loads, at = indirect._after(loads, x, n), at + n
+            assert loads.tolist() == [sum(x for x, b in zip(nnz[:at], want[:at]) if b == k) for k in range(buckets)]
+    d = spark.createDataFrame([(9 * k, x, k) for k, x in enumerate(nnz)], "i long, nnz long, rank long").repartition(3)
+    assert [b for _, b in rows(indirect.schedule(d, buckets, "rank"), "i", "bucket")] == want
+    assert [b for _, b in rows(indirect.schedule(d, buckets), "i", "bucket")] == want
+
+
+@pytest.mark.parametrize("order", ["i", "rank"])
+def test_schedule_of_many_rows(spark, order):
+    d = spark.range(5_000_001).selectExpr("id AS i", "1L AS nnz", "id AS rank")
+    r = indirect.schedule(d, 4, order)
+    assert sorted(x[1] for x in r.groupBy("bucket").count().collect()) == [1_250_000] * 3 + [1_250_001]
+    assert r.where("bucket <> i % 4").isEmpty()
+
+
 def test_decompose(small):
     d = dec.window_parts(small, [0.5, 0.75], "block", 2, 2)
     assert rows(d, "i", "j", "part") == [(0, 0, 2), (0, 1, 2), (1, 0, 2), (1, 1, 2), (3, 0, 0), (3, 3, 0), (3, 4, 0)]

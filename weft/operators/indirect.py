@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,23 +41,108 @@ def reorder(counts: DataFrame) -> DataFrame:
     return positioned(d, ["_down", "i"], F.col("_down") * (parts + 1) + F.col("_part"), "rank").select("i", "nnz", "rank")
 
 
-def schedule(counts: DataFrame, buckets: int, order: str = "i", limit: int = 5_000_000) -> DataFrame:
-    """(i, nnz, bucket): rows in order, each to the bucket with the fewest entries so far (ties to the lower bucket).
+def schedule(counts: DataFrame, buckets: int, order: str = "i", limit: int | None = None) -> DataFrame:
+    """(i, nnz, bucket): rows in order, each to the bucket with the fewest entries so far (ties to the lower bucket). Over `limit` rows, if given, this raises ValueError.
 
-    Each choice depends on all before it, so the row counts (16 bytes a row) go through the driver; over `limit` rows this raises ValueError.
+    By "rank" (falling nnz, from reorder) equal rows are placed together: the driver gets the number of rows of each nnz, and a row finds its bucket from its rank.
+    In any other order each choice depends on all before it: the counts (not the matrix) pass through one task in order, which holds the loads alone.
     """
-    spark = counts.sparkSession
-    n = counts.count()
-    if n > limit:
-        raise ValueError(f"{n} rows to schedule one after the other, more than {limit}")
-    t = counts.orderBy(order).select("i", "nnz").toArrow()
-    heap = [(0, b) for b in range(buckets)]
-    out = []
-    for x in t.column("nnz").to_pylist():
-        load, b = heap[0]
-        heapq.heapreplace(heap, (load + x, b))
-        out.append(b)
-    return spark.createDataFrame(t.append_column("bucket", pa.array(out, pa.int32())))
+    if limit is not None and (n := counts.count()) > limit:
+        raise ValueError(f"{n} rows to schedule, more than {limit}")
+    return _by_runs(counts, buckets) if order == "rank" else _one_by_one(counts, buckets, order)
+
+
+def _one_by_one(counts: DataFrame, buckets: int, order: str) -> DataFrame:
+    def run(batches):
+        heap = [(0, b) for b in range(buckets)]
+        for t in batches:
+            out = []
+            for x in t.column("nnz").to_pylist():
+                load, b = heap[0]
+                heapq.heapreplace(heap, (load + x, b))
+                out.append(b)
+            yield pa.RecordBatch.from_arrays([t.column("i"), t.column("nnz"), pa.array(out, pa.int32())], ["i", "nnz", "bucket"])
+
+    d = counts.select(F.col("i").cast("long"), F.col("nnz").cast("long"), F.col(order).alias("_order")).repartition(1).sortWithinPartitions("_order")
+    return d.select("i", "nnz").mapInArrow(run, "i long, nnz long, bucket int")
+
+
+def _steady(loads: np.ndarray, x: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows of x entries until no bucket is below the fullest one, loads then, order of the buckets from there on)."""
+    n = -(-(loads.max() - loads) // x)
+    level = loads + n * x
+    return int(n.sum()), level, np.lexsort((np.arange(len(loads)), level))
+
+
+def _uneven(loads: np.ndarray, x: int, r: np.ndarray) -> np.ndarray:
+    """Bucket of the r-th row of x entries, before the loads are steady: rows go to places (load + t * x, bucket) in their order, so the load at place r is searched for."""
+
+    def upto(v):
+        return sum(np.maximum((v - load) // x + 1, 0) for load in loads)
+
+    lo, hi = np.full(len(r), loads.min()), np.full(len(r), loads.max())
+    while (lo < hi).any():
+        mid = (lo + hi) // 2
+        enough = upto(mid) > r
+        lo, hi = np.where(enough, lo, mid + 1), np.where(enough, mid, hi)
+    left, out = r - upto(lo - 1), np.full(len(r), -1)
+    for b, load in enumerate(loads):
+        here = (lo >= load) & ((lo - load) % x == 0)
+        out[here & (left == 0) & (out < 0)] = b
+        left = left - here
+    return out
+
+
+def _placed(loads: np.ndarray, x: int, r: np.ndarray) -> np.ndarray:
+    """Bucket of the r-th of rows that all have x entries."""
+    if x == 0:
+        return np.full(len(r), loads.argmin())
+    start, _, order = _steady(loads, x)
+    out = order[(r - start) % len(loads)]
+    early = r < start
+    if early.any():
+        out[early] = _uneven(loads, x, r[early])
+    return out
+
+
+def _after(loads: np.ndarray, x: int, n: int) -> np.ndarray:
+    """Loads after n rows of x entries."""
+    if x == 0:
+        return loads
+    start, level, order = _steady(loads, x)
+    if n >= start:
+        out = level + x * ((n - start) // len(loads))
+        out[order[: (n - start) % len(loads)]] += x
+        return out
+    lo, hi = int(loads.min()), int(loads.max())
+    upto = lambda v: np.maximum((v - loads) // x + 1, 0)
+    while lo < hi:
+        mid = (lo + hi) // 2
+        lo, hi = (lo, mid) if upto(mid).sum() > n else (mid + 1, hi)
+    rows = upto(lo - 1)
+    here = np.flatnonzero((lo >= loads) & ((lo - loads) % x == 0))
+    rows[here[: n - rows.sum()]] += 1
+    return loads + x * rows
+
+
+def _by_runs(counts: DataFrame, buckets: int) -> DataFrame:
+    runs, loads, first = {}, np.zeros(buckets, np.int64), 0
+    for x, n in sorted(counts.groupBy("nnz").agg(F.count("*").alias("n")).collect(), reverse=True):
+        runs[x] = (first, loads)
+        loads, first = _after(loads, x, n), first + n
+    held = counts.sparkSession.sparkContext.broadcast(runs)
+
+    def run(batches):
+        for t in batches:
+            nnz, rank = t.column("nnz").to_numpy(), t.column("rank").to_numpy()
+            out = np.empty(len(nnz), np.int64)
+            for x in np.unique(nnz):
+                first, loads = held.value[int(x)]
+                at = nnz == x
+                out[at] = _placed(loads, int(x), rank[at] - first)
+            yield pa.RecordBatch.from_arrays([t.column("i"), t.column("nnz"), pa.array(out.astype(np.int32))], ["i", "nnz", "bucket"])
+
+    return counts.select(*(F.col(c).cast("long").alias(c) for c in ("i", "nnz", "rank"))).mapInArrow(run, "i long, nnz long, bucket int")
 
 
 def pack(df: DataFrame, start: int, end: int, name: str = "packed") -> DataFrame:
