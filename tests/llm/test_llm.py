@@ -394,6 +394,25 @@ def test_classifier(spark, texts):
     assert quality_classifier.quality_scores(make(spark, []), labels).count() == 0
 
 
+def test_classifier_reads_words(spark):
+    rng = random.Random(4)
+    letters = lambda a: ["".join(rng.choice(a) for _ in range(5)) for _ in range(60)]
+    lists = letters("abcdefgh"), letters("mnopqrst")
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(lists[i % 2], 50))) for i in range(240)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, quality int")
+    held = [r for r in rows(quality_classifier.quality_scores(docs, labels)) if r["held_out"]]
+    assert np.mean([r["predicted"] == r["doc_id"] % 2 for r in held]) > 0.95
+
+
+def test_classifier_keeps_every_repeated_row(spark):
+    docs = spark.createDataFrame([(0, "good words in a line")] * 30 + [(1, "BAD!! MARKS## ALL$$ OVER")] * 9, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    m = quality_classifier.fit(docs, labels, sample=2)
+    assert len(m.labels) == 2 and sorted(zip(m.labels, m.counts)) == [(0.0, 9), (1.0, 30)]
+    s = quality_classifier.Model(m.idf, m.axes, m.points, m.labels, 15, m.counts).score(np.array([quality_classifier.term_weights("good words in a line"), quality_classifier.term_weights("BAD!! MARKS## ALL$$ OVER")]))
+    assert s[0] > 0.9 > 0.5 > s[1]
+
+
 def test_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "some text here"), (1, "some text here"), (1, "some text here"), (2, None)], "doc_id long, text string")
     path = vocabulary("word_bpe_49k.json")

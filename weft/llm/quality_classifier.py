@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from .common import Memo
 
 #: Labelled documents that a model holds at most, terms (hashed) and latent dimensions: what is collected and broadcast is bounded by them.
-SAMPLE, TERMS, LATENT = 4096, 1024, 32
+SAMPLE, TERMS, LATENT = 4096, 2048, 32
+#: The first half of the terms are shapes, lengths and repeats, the others words and word pairs, which weigh WORDS of the whole.
+_HALF, WORDS = TERMS // 2, 0.5
 
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 _SAME = re.compile(r"(.)\1+")
@@ -26,19 +28,21 @@ def shape(word: str) -> str:
 
 
 def _slot(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % TERMS
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % _HALF
 
 
-_terms = Memo(lambda w: (_slot("s:" + shape(w)), _slot(f"l:{min(len(w), 15)}")), 150_000)
+_terms = Memo(lambda w: (_slot("s:" + shape(w)), _slot(f"l:{min(len(w), 15)}"), zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))), 150_000)
 
 
 def term_weights(text: str | None) -> np.ndarray:
-    """Square roots of term shares: shapes and lengths of words, words that repeat the one before or a trigram before, lines seen before, and the length class."""
+    """Square roots of term shares: shapes and lengths of words, words and word pairs themselves, words that repeat the one before or a trigram before, lines seen before, and the length class."""
     words = (text or "").split()
     n = len(words)
     if n:
         t = np.array(list(map(_terms.__getitem__, words)), np.int64)
-        v = np.bincount(t.ravel(), minlength=TERMS) / (2 * n)
+        v = np.bincount(t[:, :2].ravel(), minlength=TERMS) / (2 * n)
+        pairs = (t[:-1, 2] * 0x9E3779B1 + t[1:, 2]) >> 7
+        v += np.bincount(_HALF + np.concatenate([t[:, 2], pairs]) % _HALF, minlength=TERMS) * (WORDS / (2 * n))
         v[_slot("r:next")] += sum(map(str.__eq__, words, words[1:])) / n
         grams = list(zip(words, words[1:], words[2:]))
         v[_slot("r:gram")] += (len(grams) - len(set(grams))) / n
@@ -58,6 +62,8 @@ class Model:
     points: np.ndarray
     labels: np.ndarray
     neighbours: int
+    #: Rows that each point stands for.
+    counts: np.ndarray
 
     def latent(self, x: np.ndarray) -> np.ndarray:
         z = (x * self.idf) @ self.axes
@@ -70,31 +76,51 @@ class Model:
         s = self.latent(x.astype(np.float32)) @ self.points.T
         k = min(self.neighbours, s.shape[1])
         at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(s, at, 1), 0).astype(np.float64) ** 8 + 1e-9
+        near = np.take_along_axis(s, at, 1)
+        w = np.maximum(near, 0).astype(np.float64) ** 8 + 1e-9
+        if (self.counts > 1).any():  # the nearest rows, as a point can stand for some
+            order = np.argsort(-near, axis=1, kind="stable")
+            at, w = np.take_along_axis(at, order, 1), np.take_along_axis(w, order, 1)
+            c = self.counts[at]
+            w = w * np.clip(self.neighbours - (np.cumsum(c, axis=1) - c), 0, c)
         return np.clip((w * self.labels[at]).sum(axis=1) / w.sum(axis=1), 0, 1)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, neighbours: int = 15) -> Model:
     """Model from labelled documents (doc_id, label 0 or 1; null labels don't count), of at most `sample` with the smallest hashes of doc_id.
 
-    Their term weights come to the driver (at most sample x TERMS numbers) for inverse document frequencies and a singular value decomposition.
+    Rows that repeat a labelled doc_id are one point, of their mean term weights, that counts as often as they are. They are added up in the tasks, then over tasks.
+    The points' term weights come to the driver (at most sample x TERMS numbers) for inverse document frequencies and a singular value decomposition.
     """
     picked = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
     picked = picked.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
 
     def run(batches):
+        sums: dict[tuple[int, int], list] = {}
         for b in batches:
-            v = [term_weights(t.as_py()).astype(np.float32).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(v, pa.binary())], ["_id", "_y", "v"])
-
-    rows = sorted(texts.join(F.broadcast(picked), "_id").select("_id", "_y", "_text").mapInArrow(run, "_id long, _y int, v binary").collect())[: 2 * sample]
+            for i, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                at = sums.setdefault((i, y), [0, np.zeros(TERMS)])
+                at[0] += 1
+                at[1] += term_weights(t.as_py())
+        if sums:
+            ids, ys = zip(*sums)
+            ns, vs = zip(*sums.values())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(ns, pa.int64()), pa.array([v.tobytes() for v in vs], pa.binary())], ["_id", "_y", "n", "v"])
+
+    def add(t):
+        n = sum(t.column("n").to_pylist())
+        v = sum(np.frombuffer(x.as_py(), np.float64) for x in t.column("v")) / n
+        return pa.table([t.column("_id")[:1], t.column("_y")[:1], pa.array([n], pa.int64()), pa.array([v.astype(np.float32).tobytes()], pa.binary())], ["_id", "_y", "n", "v"])
+
+    schema = "_id long, _y int, n long, v binary"
+    rows = sorted(texts.join(F.broadcast(picked), "_id").select("_id", "_y", "_text").mapInArrow(run, schema).groupBy("_id", "_y").applyInArrow(add, schema).collect())
     x = np.array([np.frombuffer(r["v"], np.float32) for r in rows], np.float32).reshape(len(rows), TERMS)
-    y = np.array([r["_y"] for r in rows], np.float64)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
+    y, n = np.array([r["_y"] for r in rows], np.float64), np.array([r["n"] for r in rows], np.int64)
+    idf = np.log((1 + n.sum()) / (1 + n @ (x > 0))).astype(np.float32) + 1
     z = x * idf
-    _, axes = np.linalg.eigh(z.T.astype(np.float64) @ z)
-    m = Model(idf, axes[:, ::-1][:, :LATENT].astype(np.float32), np.zeros((0, LATENT), np.float32), y, neighbours)
+    _, axes = np.linalg.eigh((z.T * n) @ z)
+    m = Model(idf, axes[:, ::-1][:, :LATENT].astype(np.float32), np.zeros((0, LATENT), np.float32), y, neighbours, n)
     m.points = m.latent(x)
     return m
 
@@ -135,7 +161,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
     """(doc_id, held_out, score, predicted) of each document, learnt from labels of documents with crc32(doc_id as text) mod folds other than `held`.
 
     Scores use the text alone. Null or empty text: the votes of the nearest short documents. No usable label: 0.5 for all. A null doc_id is not held
-    out. Repeated rows are scored alike; rows that repeat a labelled doc_id each give a point. Other columns are ignored.
+    out. Repeated rows are scored alike; rows that repeat a labelled doc_id count each. Other columns are ignored.
     """
     model = fit(docs, labels.where(crc_of_id() % folds != held), sample=sample, neighbours=neighbours)
     out = score(docs, model)
