@@ -234,30 +234,71 @@ def rule_counts(t):
 
 def test_quality_rules(spark, texts):
     docs = make(spark, texts)
-    got = rows(quality_rules.quality_rules(docs, least_docs=10))
+    got = rows(quality_rules.quality_rules(docs))
     assert len(got) == len(texts)
     for r in got:
         want = rule_counts(texts[r["doc_id"]])
         assert tuple(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
-        assert not (r["base_failed"] and r["kept"])
-    kept = rows(quality_rules.keep_good(docs, least_docs=10))
+        assert r["kept"] == (not r["base_failed"] and r["failed"] == "")
+    kept = rows(quality_rules.keep_good(docs))
     assert [r["doc_id"] for r in kept] == [r["doc_id"] for r in got if r["kept"]] and set(kept[0]) == set(docs.columns)
-    assert quality_rules.quality_rules(make(spark, [])).count() == 0
+    assert quality_rules.quality_rules(make(spark, [])).count() == 0 and quality_rules.keep_good(make(spark, [])).count() == 0
+    only = rows(quality_rules.quality_rules(spark.createDataFrame([(1, "x " * 60), (2, None)], "doc_id long, text string")))
+    assert [r["kept"] for r in only] == [False, False]  # no document passes the base: no fences
+
+
+def fences_by_hand(group, wide, prior, seen):
+    """(lo, hi) from a group's values: quartiles of sketch cells, blended with the wider group's."""
+    v = sorted(x >> max(x.bit_length() - 9, 0) << max(x.bit_length() - 9, 0) for x in group if x or not seen)
+    if not v:
+        return None
+    q1, q3 = (v[math.ceil(len(v) * p / 100) - 1] for p in (25, 75))
+    own = q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)
+    return own if wide is None else tuple((len(v) * x + prior * w) / (len(v) + prior) for x, w in zip(own, wide))
+
+
+def test_fences_are_the_groups_own(spark):
+    rng = random.Random(8)
+    made = []
+    for i in range(400):
+        lang, source = rng.choice(["en", "de", None]), rng.choice(["a", "b", "c"])
+        size = {"en": 4, "de": 9, None: 6}[lang] + {"a": 0, "b": 3, "c": 6}[source]
+        w = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, size))) + rng.choice(["", "", ".", ","]) for _ in range(rng.randint(55, 90))]
+        w = [x.upper() if rng.random() < size / 100 else x for x in w] + w[:3] * (rng.random() < 0.3)
+        made.append((i, " ".join(w) + "\n" + "".join(f"{x}\n" * rng.choice([0, 1, 2, 4]) for x in w[: rng.choice([0, 2, 5])]), lang, source))
+    made += [(1000 + i, *made[0][1:]) for i in range(300)]  # copies count once
+    m = quality_rules.measured(spark.createDataFrame(made, "doc_id long, text string, lang string, source string"))
+    t = {(r.lang, r.source): r for r in quality_rules.thresholds(m).collect()}
+    each = {(lang or "", source, *quality_rules.counts(text)) for _, text, lang, source in made}
+    names = quality_rules._COUNTS
+    each = [(lang, source, dict(zip(names, c))) for lang, source, *c in each]
+    each = [x for x in each if x[2]["n_words"] >= 50 and 2 * x[2]["n_repeat_words"] <= x[2]["n_words"]]
+    assert len(t) == 9
+    for k, (n, d, sides) in quality_rules.MEASURES.items():
+        seen, value = sides.endswith("seen"), lambda c: c[n] * 1000 // c[d] if c[d] else 0  # noqa: B023
+        every = fences_by_hand([value(c) for *_, c in each], None, 100, seen)
+        for (lang, source), r in t.items():
+            wide = fences_by_hand([value(c) for x, _, c in each if x == lang], every, 100, seen)
+            want = fences_by_hand([value(c) for x, y, c in each if (x, y) == (lang, source)], wide, 100, seen)
+            assert (r[f"lo_{k}"], r[f"hi_{k}"]) == pytest.approx(want, rel=1e-12)
+        assert len({r[f"hi_{k}"] for r in t.values()}) > 3, k  # the sketches decide, not a constant
 
 
 def test_sketch_cells(spark):
     v = [0, 1, 63, 64, 65, 66, 127, 128, 131, 132, 1000, 10**6]
-    got = [r.c for r in spark.createDataFrame([(x,) for x in v], "v long").select(quality_rules.cell(quality_rules.F.col("v")).alias("c")).collect()]
-    assert got == [x if x < 64 else x >> (x.bit_length() - 6) << (x.bit_length() - 6) for x in v]
+    for bits in (6, 9):
+        got = [r.c for r in spark.createDataFrame([(x,) for x in v], "v long").select(common.cell(quality_rules.F.col("v"), bits).alias("c")).collect()]
+        assert got == [x if x < 1 << bits else x >> (x.bit_length() - bits) << (x.bit_length() - bits) for x in v]
 
 
 def test_thresholds_follow_the_group(spark):
-    good = ["word " * 3 + " ".join(f"w{i}{k}" for i in range(60)) for k in range(10, 50)]
-    marked = [" ".join(f"w{i}{k} ##" for i in range(60)) for k in range(10, 50)]
+    rng = random.Random(1)
+    good = ["word " * 3 + " ".join(f"w{i}{k}" + rng.choice(["", "", "."]) for i in range(60)) for k in range(10, 50)]
+    marked = [" ".join(f"w{i}{k} " + "#" * rng.randint(1, 4) for i in range(60)) for k in range(10, 50)]
     a = make(spark, good[:38] + marked[:2]).withColumn("lang", quality_rules.F.lit("en")).withColumn("source", quality_rules.F.lit("prose"))
     b = make(spark, marked, 100).withColumn("lang", quality_rules.F.lit("en")).withColumn("source", quality_rules.F.lit("code"))
-    got = {r["doc_id"]: r["kept"] for r in rows(quality_rules.quality_rules(a.unionByName(b), least_docs=20))}
+    got = {r["doc_id"]: r["kept"] for r in rows(quality_rules.quality_rules(a.unionByName(b), prior=5))}
     assert not got[38] and not got[39] and all(got[i] for i in range(38)) and all(got[100 + i] for i in range(40))
 
 

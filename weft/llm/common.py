@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ CACHE_ENTRIES = 150_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary folder is taken."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary folder is taken on one machine, and on a cluster RuntimeError is raised."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediates need a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='weft-checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -55,9 +58,9 @@ class Memo(dict):
         return v
 
 
-def cell(v: Column) -> Column:
-    """Lower end of the sketch cell of a whole number: exact under 64, then 32 cells an octave (relative error under 1/32)."""
-    shift = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
+def cell(v: Column, bits: int = 6) -> Column:
+    """Lower end of the sketch cell of a whole number: exact under 2^bits, then 2^(bits - 1) cells an octave (relative error under 2^(1 - bits))."""
+    shift = F.greatest(F.length(F.bin(v)) - bits, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", v, shift), shift)
 
 

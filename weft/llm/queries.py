@@ -102,19 +102,22 @@ FROM embeddings d LEFT JOIN k ON k.a = d.vec_id LEFT JOIN comp ON comp.a = d.vec
 
 
 def _op5_sql() -> str:
-    m = quality_rules.MEASURES
+    m, prior = quality_rules.MEASURES, quality_rules.PRIOR
     value = lambda k: f"CASE WHEN {m[k][1]} > 0 THEN {m[k][0]} * 1000 // {m[k][1]} ELSE 0 END"
-    cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS m, {value(k)} AS v, {m[k][2]} AS slack FROM q" for k in m)
+    cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS m, {value(k)} AS v FROM once" + f" WHERE {value(k)} > 0" * m[k][2].endswith("seen") for k in m)
+    base = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
 
     def fences(level: str, name: str) -> str:
         by = f"{level}, m" if level else "m"
+        q = lambda p: f"min(cell) FILTER (upto * 100 >= n * {p})"
         return (
-            f"{name} AS (SELECT {by}, max(n) AS n, min(cell) FILTER (upto * 100 >= n * 75) + 3.0 * greatest(min(cell) FILTER (upto * 100 >= n * 75) - min(cell) FILTER (upto * 100 >= n * 25), max(slack)) AS t "
-            f"FROM (SELECT *, sum(c) OVER (PARTITION BY {by} ORDER BY cell) AS upto, sum(c) OVER (PARTITION BY {by}) AS n FROM (SELECT {by}, cell, max(slack) AS slack, count(*) AS c FROM cells GROUP BY {by}, cell)) GROUP BY {by})"
+            f"{name} AS (SELECT {by}, n, q1 - 3 * (q3 - q1) AS lo, q3 + 3 * (q3 - q1) AS hi FROM (SELECT {by}, max(n) AS n, {q(25)} AS q1, {q(75)} AS q3 "
+            f"FROM (SELECT *, sum(c) OVER (PARTITION BY {by} ORDER BY cell) AS upto, sum(c) OVER (PARTITION BY {by}) AS n FROM (SELECT {by}, cell, count(*) AS c FROM cells GROUP BY {by}, cell)) GROUP BY {by}))"
         )
 
-    over = ", ".join(f"CASE WHEN {value(k)} > (SELECT CASE WHEN g.n >= 100 THEN g.t WHEN l.n >= 100 THEN l.t ELSE a.t END FROM g JOIN l ON l.lang = g.lang AND l.m = g.m JOIN a ON a.m = g.m WHERE g.lang = q.lang AND g.source = q.source AND g.m = '{k}') THEN '{k}' END" for k in m)
-    base = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
+    blend = lambda own, wide: f"CAST({own[0]}.n * {own} + {prior} * {wide} AS DOUBLE) / CAST({own[0]}.n + {prior} AS DOUBLE)"
+    outside = lambda k: f"{value(k)} > t.hi" + f" OR {value(k)} < t.lo" * (m[k][2] == "both")
+    over = ", ".join(f"(SELECT '{k}' FROM t WHERE t.lang = q.lang AND t.source = q.source AND t.m = '{k}' AND ({outside(k)}))" for k in m)
     return (
         r"""
 WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
@@ -124,12 +127,15 @@ WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS so
 , lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT x) AS u FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id)
 , q AS (SELECT w.doc_id, lang, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n - lines.u, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines,
-  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id)
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]', '', 'g')) AS n_marks FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id LEFT JOIN lines ON lines.doc_id = w.doc_id)
 """
-        + f", cells AS (SELECT lang, source, m, slack, (v >> s) << s AS cell FROM (SELECT *, greatest(length(bin(v)) - 6, 0) AS s FROM ({cells})))\n"
+        + f", once AS (SELECT DISTINCT * EXCLUDE doc_id FROM q WHERE NOT {base})\n"
+        + f", cells AS (SELECT lang, source, m, (v >> s) << s AS cell FROM (SELECT *, greatest(length(bin(v)) - {quality_rules.BITS}, 0) AS s FROM ({cells})))\n"
         + f", {fences('lang, source', 'g')}\n, {fences('lang', 'l')}\n, {fences('', 'a')}\n"
+        + f", w1 AS (SELECT l.lang, m, {blend('l.lo', 'a.lo')} AS lo, {blend('l.hi', 'a.hi')} AS hi FROM l JOIN a USING (m))\n"
+        + f", t AS (SELECT g.lang, g.source, m, {blend('g.lo', 'w1.lo')} AS lo, {blend('g.hi', 'w1.hi')} AS hi FROM g JOIN w1 USING (lang, m))\n"
         + f", f AS (SELECT *, {base} AS base_failed, array_to_string(list_filter([{over}], lambda x: x IS NOT NULL), ',') AS failed FROM q)\n"
-        + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM f"
+        + "SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, n_marks, base_failed, NOT base_failed AND failed = '' AS kept, failed FROM f"
     )
 
 
