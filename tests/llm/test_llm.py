@@ -294,8 +294,8 @@ def test_sketch_cells(spark):
 
 def test_thresholds_follow_the_group(spark):
     rng = random.Random(1)
-    good = ["word " * 3 + " ".join(f"w{i}{k}" + rng.choice(["", "", "."]) for i in range(60)) for k in range(10, 50)]
-    marked = [" ".join(f"w{i}{k} " + "#" * rng.randint(1, 4) for i in range(60)) for k in range(10, 50)]
+    good = [" ".join("abcdefghij"[: rng.randint(2, 9)] + str(i) + rng.choice(["", "", "."]) for i in range(60, 150)) for _ in range(40)]
+    marked = [" ".join("abcdefghij"[: rng.randint(2, 9)] + str(i) + "#" * rng.randint(1, 4) for i in range(60, 150)) for _ in range(40)]
     a = make(spark, good[:38] + marked[:2]).withColumn("lang", quality_rules.F.lit("en")).withColumn("source", quality_rules.F.lit("prose"))
     b = make(spark, marked, 100).withColumn("lang", quality_rules.F.lit("en")).withColumn("source", quality_rules.F.lit("code"))
     got = {r["doc_id"]: r["kept"] for r in rows(quality_rules.quality_rules(a.unionByName(b), prior=5))}
