@@ -207,16 +207,31 @@ def test_forced_boundaries():
     assert all(p[i : i + 2] in e.inside for p, _ in parts for i in range(len(p) - 1))
 
 
-def test_token_counts(spark, texts):
+@pytest.mark.parametrize("bounds", [{}, {"held": 30}, {"held": 0}, {"held_bytes": 40}])
+def test_token_counts(spark, texts, bounds):
     from tokenizers import Tokenizer
 
     path = vocabulary("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    every = [*texts, "a  <|endoftext|>b <|endoftext|>\n c", "x \n<|endoftext|>", "  a  b \t\n d \xa0 e\x85f"]
-    for r in rows(token_counts.token_counts(make(spark, every), path)):
+    rng = random.Random(6)
+    alphabet = [chr(i) for i in [*range(0x80), *range(0x80, 0x250, 7), 0x3A3, 0x2003, 0x2028, 0x1F600, 0xAC00, 0x4E00, 0x301, 0x200D]]
+    odd = ["".join(rng.choices(alphabet, k=60)) for _ in range(100)]
+    every = [*texts, "a  <|endoftext|>b <|endoftext|>\n c", "x \n<|endoftext|>", "  a  b \t\n d \xa0 e\x85f", "<|endoftext|>" * 3, *odd, *odd[:3]]
+    for r in rows(token_counts.token_counts(make(spark, every), path, **bounds)):
         t = every[r["doc_id"]] or ""
         n = len(lib.encode(t, add_special_tokens=False).ids)
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n, n > 512)
+    assert token_counts.token_counts(make(spark, []), path, **bounds).count() == 0
+
+
+def test_pieces_are_counted_once(spark, texts):
+    path = vocabulary("byte_bpe_50k.json")
+    docs = make(spark, texts * 2)
+    cut = token_counts.pre_tokenizer(path)
+    want = collections.Counter(p for t in texts * 2 for p in cut(t or ""))
+    got = token_counts.piece_counts(token_counts.distinct_pre_tokens(docs, path), path).collect()
+    assert len(got) == len(want) and {r.token: r.c for r in got} == want
+    assert all("".join(cut(t)) == t for t in texts if t)
 
 
 def rule_counts(t):
