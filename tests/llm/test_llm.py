@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -132,9 +133,10 @@ def test_reduction_and_best_fit():
         go(0, [])
         return best[0]
 
-    for _ in range(150):
+    for _ in range(400):
         c = rng.choice([10, 20, 50])
-        items = sorted((rng.randint(1, c) for _ in range(rng.randint(1, 9))), reverse=True)
+        kinds = [rng.randint(1, c) for _ in range(rng.choice([2, 3, 9]))]
+        items = sorted((rng.choice(kinds) for _ in range(rng.randint(1, 9))), reverse=True)
         fixed, left = packing.dominance_reduction(dict(collections.Counter(items)), c)
         rest = [w for w, n in left.items() for _ in range(n)]
         groups = fixed + packing.best_fit(left, c)
@@ -147,6 +149,23 @@ def test_reduction_and_best_fit():
         assert sum(m for _, m in fixed) + least(sorted(rest, reverse=True), c) == least(items, c)  # what is fixed loses nothing
 
 
+@pytest.mark.parametrize("lengths", [(2000,), (1300,), (1366, 1365, 1364), (2048, 2047), (4096,), (1200, 1500, 1700, 2000), (900, 3000), tuple(range(1000, 2100))])
+def test_many_equal_lengths(lengths):
+    n = 10**9 // len(lengths)
+    start = time.perf_counter()
+    fixed, left = packing.dominance_reduction(dict.fromkeys(lengths, n), 4096)
+    groups = fixed + packing.best_fit(left, 4096)
+    table = packing.layout(groups)
+    assert time.perf_counter() - start < (1 if len(lengths) < 9 else 20)
+    assert len(groups) <= 8 * len(lengths) + 8 and len(table) <= 24 * len(lengths) + 24
+    used = collections.Counter()
+    for pattern, m in groups:
+        assert sum(w * k for w, k in pattern) <= 4096
+        for w, k in pattern:
+            used[w] += k * m
+    assert used == dict.fromkeys(lengths, n)
+
+
 def test_packing(spark, texts):
     from tokenizers import Tokenizer
 

@@ -73,8 +73,8 @@ def dominance_reduction(count: dict[int, int], capacity: int) -> tuple[list[Grou
     """(fixed groups, lengths that remain) by the reduction of Martello and Toth (1990), on lengths with their numbers.
 
     For each length, longest first: with k the most other pieces that fit beside it, the piece is fixed alone (k = 0), with the longest that fits (k = 1, or together they
-    fill the sequence, or no two others reach as much), or with the best two others where these dominate all other sets. Equal pieces are fixed together,
-    so the work depends on the number of different lengths, not on that of pieces.
+    fill the sequence, or no two others reach as much), or with the best two others where these dominate all other sets. A set is fixed as often as its
+    pieces allow, which uses one of its lengths up but for one or two pieces, so work and groups depend on the number of different lengths, not on that of pieces.
     """
     count = {w: n for w, n in count.items() if n}
     lengths = sorted(count)
@@ -144,10 +144,8 @@ def dominance_reduction(count: dict[int, int], capacity: int) -> tuple[list[Grou
         for j in reversed(list(lengths)):
             while j in count and (f := dominating(j)):
                 need = {w: f.count(w) for w in f}
-                # alone and full pairs hold as long as pieces last; else a set is fixed once and looked for again
-                n = min(count[w] // m for w, m in need.items()) if len(f) == 1 or sum(f) == capacity else 1
-                if len(f) == 2 and sum(f) < capacity and f[0] != f[1]:
-                    n = max(1, min(count[f[0]], count[f[1]]) - 1)
+                # what dominates goes on to do so while its pieces last: with fewer others no more of them fit, none is longer, and the same ones are the best two
+                n = min(count[w] // m for w, m in need.items())
                 fixed.append((tuple((w, m) for w, m in need.items()), n))
                 for w, m in need.items():
                     take(w, n * m)
