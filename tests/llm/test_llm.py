@@ -91,23 +91,69 @@ def test_components(spark):
 
 
 def test_kd_shards(spark, texts):
-    got = rows(kdshard.kd_shards(make(spark, texts[:60] * 4), shards=8, grain=5))
+    made = texts[:60] * 4
+    got = rows(kdshard.kd_shards(make(spark, made), shards=8))
     assert len(got) == 240 and {r["law"] for r in got} == {"bytes"} and all(r["grown_shard"] is None for r in got)
-    sizes = collections.Counter()
+    sizes, same, weight = collections.Counter(), collections.defaultdict(set), collections.Counter()
     for r in got:
-        t = (texts[:60] * 4)[r["doc_id"]] or ""
+        t = made[r["doc_id"]] or ""
         assert r["size"] == len(t.encode()) + 1 and r["text_crc32"] == zlib.crc32(t.encode())
         sizes[r["shard"]] += r["size"]
+        same[t].add(r["shard"])
+        weight[t] += r["size"]
     assert set(sizes) == set(range(8)) and max(sizes.values()) < 1.3 * min(sizes.values())
     for k in range(8):
         assert sorted(r["slot"] for r in got if r["shard"] == k) == list(range(sum(r["shard"] == k for r in got)))
-    same = collections.defaultdict(set)
-    for r in got:
-        same[r["text_crc32"]].add(r["shard"])
-    assert sum(len(x) == 1 for x in same.values()) > 0.8 * len(same)
+    cap = -(-sum(sizes.values()) // 8) // 4
+    assert all(len(same[t]) == 1 for t in same if weight[t] <= cap) and any(len(x) == 1 for x in same.values())
     assert kdshard.kd_shards(make(spark, []), shards=8).count() == 0
-    assert len({r["shard"] for r in rows(kdshard.kd_shards(make(spark, ["one text"] * 200), shards=4))}) == 4  # one text may hold all rows
-    assert kdshard.kd_shards(make(spark, texts), shards=None, target_bytes=200_000).select("shard").distinct().count() >= 2
+    hot = rows(kdshard.kd_shards(make(spark, ["one text"] * 400), shards=4))  # one text may hold all rows
+    assert {r["shard"] for r in hot} == set(range(4))
+    assert {r["shard"] for r in rows(kdshard.kd_shards(make(spark, ["a", "b"]), shards=8))} <= set(range(8))
+    by_bytes = collections.Counter()
+    for r in rows(kdshard.kd_shards(make(spark, texts[:60]), target_bytes=5000)):
+        by_bytes[r["shard"]] += r["size"]
+    assert set(by_bytes) == set(range(len(by_bytes))) and len(by_bytes) > 4
+    assert all(n <= 5000 for n in by_bytes.values())
+
+
+@pytest.mark.parametrize(("shards", "target"), [(8, None), (5, None), (None, 4000)])
+def test_kd_tree_by_hand(spark, texts, shards, target):
+    """Every split is along the widest dimension, at the key where the left bytes come closest to their share; found by sorting the units of each node."""
+    base = kdshard._sized(make(spark, texts[:70] * 2))
+    lo, hi = base.agg({"doc_id": "min"}).first()[0], base.agg({"doc_id": "max"}).first()[0]
+    _, units = kdshard.units_of(base, 10**9, 10, lo, hi)
+    u = units.toPandas()
+    tree = kdshard.grow(units.repartition(3), shards, target)
+    place = u[list(kdshard._DIMS)].to_numpy()
+    key, w = (place << 32) + u.tie.to_numpy()[:, None], u.w.to_numpy()
+    width = np.maximum(1, place.max(axis=0) - place.min(axis=0))
+    leaves, todo = {}, [(1, np.arange(len(u)), shards)]
+    while todo:
+        n, at, k = todo.pop()
+        total = w[at].sum()
+        k = k or -(-total // target)
+        if n not in tree.dim:
+            assert k == 1 or len(at) == 1
+            leaves[n] = at
+            continue
+        assert k > 1
+        d, c = tree.dim[n], tree.cut[n]
+        assert d == np.argmax((place[at].max(axis=0) - place[at].min(axis=0)) / width)
+        order = at[np.argsort(key[at, d])]
+        ends, want = np.cumsum(w[order])[:-1], total * (k // 2) / k
+        left = at[key[at, d] < c]
+        assert abs(w[left].sum() - want) <= abs(ends - want).min() + total / k / 2000
+        todo += [(2 * n, left, shards and k // 2), (2 * n + 1, at[key[at, d] >= c], shards and k - k // 2)]
+    assert set(tree.shard) == set(leaves)
+
+
+def test_kd_tree_of_many_leaves(spark):
+    units = spark.range(60_000).selectExpr("id AS g", "0 AS salt", "1L AS w", "pmod(xxhash64(id), 2147483648L) AS q_bytes", "pmod(xxhash64(id, 1), 2147483648L) AS q_lang", "0L AS q_source", "id AS q_doc", "pmod(xxhash64(id, 2), 4294967296L) AS tie").cache()
+    tree = kdshard.grow(units, None, 4)
+    assert 60_000 / 4 <= len(tree.shard) <= 60_000 and sorted(tree.shard.values()) == list(range(len(tree.shard)))
+    at = kdshard.descend(kdshard.keys_of(units.toArrow().to_batches()[0]), tree.arrays())
+    assert np.unique(at, return_counts=True)[1].max() <= 4
 
 
 def test_reduction_and_best_fit():
