@@ -40,14 +40,14 @@ def test_schedule_is_balanced(spark):
 
 
 def test_every_row_is_reduced(spark, db):
-    got = q.queries()["whole_reduce_sum"](spark, DATA)
+    got = q.queries()["reduce_sum"](spark, DATA)
     assert got.count() == db.sql("select count(distinct l_orderkey) from lineitem").fetchall()[0][0]
     assert got.agg({"x": "sum"}).first()[0] == db.sql("select sum(l_linenumber) from lineitem").fetchall()[0][0]
-    x = q.queries()["whole_spmv_dense_out"](spark, DATA)
-    assert x.where("x <> 0").count() == db.sql("select count(distinct l_suppkey) from lineitem").fetchall()[0][0] == q.queries()["whole_dcsr_ptr"](spark, DATA).count() - 1
+    x = q.queries()["spmv_dense_out"](spark, DATA)
+    assert x.where("x <> 0").count() == db.sql("select count(distinct l_suppkey) from lineitem").fetchall()[0][0] == q.queries()["dcsr_ptr"](spark, DATA).count() - 1
 
 
 def test_diagonals_follow_the_keys(spark, db):
     n, diagonals = db.sql("select count(distinct (l_suppkey, l_partkey)), count(distinct l_partkey - l_suppkey) from lineitem").fetchall()[0]
-    d = q.queries()["whole_dia_diagonals"](spark, DATA)
+    d = q.queries()["dia_diagonals"](spark, DATA)
     assert d.count() == diagonals > 127 and d.agg({"n": "sum"}).first()[0] == n

@@ -1,11 +1,13 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
 
 from weft import encoding as enc
 from weft.encoding import Encoding, EncodingError
+from weft.functions.prefix import running
 from weft.functions.timing import timed
 from weft.operators import decompose as dec
 from weft.operators import indirect, kernels
@@ -15,6 +17,7 @@ from weft.sources import mtx
 from weft.streaming.incremental import streaming_spmv
 from weft.tensor import SparseTensor, struct_convert, whole
 
+#: The entries of the 4 x 6 matrix (fixed values).
 ROWS = [(0, 0, 1.0), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0), (3, 0, 5.0), (3, 3, 6.0), (3, 4, 7.0)]
 TEXT = "%%MatrixMarket matrix coordinate real general\n% a comment\n4 6 7\n" + "".join(f" {i + 1}  {j + 1}\t{v}\n" for i, j, v in ROWS)
 
@@ -37,6 +40,10 @@ ARRAYS = [
     (enc.DIA3, {"root.ptr": [0, 4], "L0.crd": [-1, 0, 1, 3], "values": [[0, 2, 0, 0, 7, 0], [1, 4, 0, 6, 0, 0], [3, 0, 0, 0, 0, 0], [5, 0, 0, 0, 0, 0]]}),
     (enc.DIA4, {"root.ptr": [0, 4], "L0.crd": [-3, -1, 0, 1], "values": [[0, 0, 0, 5], [0, 3, 0, 0], [1, 4, 0, 6], [2, 0, 0, 7]]}),
     (enc.bdia(2), {"L0.ptr": [0, 3, 6], "L1.crd": [-1, 0, 1, -3, 0, 1], "values": [[0, 3], [1, 4], [2, 0], [0, 5], [0, 6], [0, 7]]}),
+    (enc.HISPARSE, {"L0.ptr": [0, 2, 4, 4, 7], "values": [(0, 1), (1, 2), (0, 3), (1, 4), (0, 5), (3, 6), (4, 7)]}),
+    (enc.ne_csb(2, 3), {"L0.ptr": [0, 1, 3], "L1.crd": [0, 0, 1], "L1.ptr": [0, 4, 5, 7], "L2.crd": [0, 0, 1, 1, 1, 1, 1], "L3.crd": [0, 1, 0, 1, 0, 0, 1], "values": [1, 2, 3, 4, 5, 6, 7]}),
+    (enc.cisr(2), {"L0.ptr": [0, 2, 3], "L1.crd": [0, 3, 1], "L1.ptr": [0, 2, 5, 7], "L2.crd": [0, 1, 0, 3, 4, 0, 1], "values": [1, 2, 5, 6, 7, 3, 4]}),
+    (enc.ell(), {"root.ptr": [0, 3], "L0.crd": [0, 1, 2], "crd": [[0, 0, 0, 0], [1, 1, 0, 3], [0, 0, 0, 4]], "values": [[1, 3, 0, 5], [2, 4, 0, 6], [0, 0, 0, 7]]}),
     (enc.c2sr(2), {"L1.ptr": [0, 2, 2, 4, 7], "L2.crd": [0, 1, 0, 1, 0, 3, 4], "values": [1, 2, 3, 4, 5, 6, 7]}),
 ]
 
@@ -54,15 +61,61 @@ def rows(df, *cols):
 @pytest.mark.parametrize(("e", "want"), ARRAYS, ids=[e.name for e, _ in ARRAYS])
 def test_arrays(small, e, want):
     assert small.convert(e).storage().arrays() == want
+    assert SparseTensor.from_arrays(want, small.shape, e).check(small)
 
 
-@pytest.mark.parametrize("e", [e for e, _ in ARRAYS] + [enc.ne_csb(2, 3), enc.ell(), enc.cisr(2), enc.cisr_plus(2)], ids=lambda e: e.name)
+def test_compression_changes_the_arrays(spark, small):
+    """Formats of the same levels that differ in trim or fuse alone store other arrays, and each reads back from its own only."""
+    kinds = [enc.COO, enc.CSR, enc.DCSR, enc.HISPARSE]
+    stored = [small.convert(e).storage().arrays() for e in kinds]
+    assert len({str(sorted(x.items())) for x in stored}) == len(kinds)
+    with pytest.raises(KeyError):
+        SparseTensor.from_arrays(stored[0], small.shape, enc.CSR)
+    wrong = {**stored[1], "L0.ptr": [0, 1, 4, 4, 7]}
+    assert not SparseTensor.from_arrays(wrong, small.shape, enc.CSR).check(small)
+
+
+def test_formats_differ_by_their_options(small):
+    assert enc.cisr(2) != enc.cisr(8) and enc.cisr(2) == enc.cisr(2) and enc.HISPARSE != enc.CSR and len({enc.cisr(2), enc.cisr(8)}) == 2
+    two, eight = small.convert(enc.cisr(2)), small.convert(enc.cisr(2)).convert(enc.cisr(8))
+    assert two.storage().sizes[0] == 2 and eight.storage().sizes[0] == 8
+    with pytest.raises(ValueError, match="isn't known"):
+        Encoding("slots", ("indirect(j)", "i", "j"), (1, 2), (0,), {"enumerate": True})._inverse() and small.convert(Encoding("slots", ("indirect(j)", "i", "j"), (1, 2), (0,), {"enumerate": True})).storage().ptr(0)
+    by_column = small.convert(Encoding("columns", ("indirect(j)", "i", "j"), (0, 2), (0,), {"sum": 1, "enumerate": True}))
+    assert rows(by_column.levels(), "l0", "l1", "l2") == sorted([(0, 0, 0), (0, 0, 1), (1, 1, 0), (1, 1, 1), (2, 3, 0), (0, 3, 3), (0, 3, 4)])
+
+
+def test_hot_rows(spark):
+    n = 20_000
+    t = SparseTensor(spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS i", "id AS j", "CAST(id AS DOUBLE) AS v"), (n, n))
+    for e in (enc.COO, enc.CSR, enc.c2sr(16)):
+        assert t.convert(e).stored().check(t)
+    x = [r.x for r in t.storage().crd(0).orderBy("pos").collect()]
+    assert x == sorted(x) and len(x) == n
+
+
+def test_slots_of_many_rows(spark):
+    m = 1_000_000
+    t = SparseTensor(spark.range(m).selectExpr("id AS i", "id % 5 AS j", "CAST(id + 1 AS DOUBLE) AS v"), (m, 5))
+    start = time.perf_counter()
+    got = indirect.ell_arrays(t).selectExpr("slot", "chunk", "size(crd) AS n", "aggregate(values, 0D, (a, x) -> a + x) AS s").collect()
+    assert time.perf_counter() - start < 60
+    assert {r.slot for r in got} == {0} and sum(r.n for r in got) == m and sum(r.s for r in got) == m * (m + 1) / 2
+
+
+def test_running_over_many_blocks(spark):
+    keys = [0, 5, 70_000, 2**33, 2**45 + 1, 2**50]
+    d = spark.createDataFrame([(k, 1) for k in keys], "k long, n long")
+    for bound in (None, 2**51):
+        assert [x for _, x in rows(running(d, "k", "n", "before", bound), "k", "before")] == list(range(len(keys)))
+
+
+@pytest.mark.parametrize("e", [e for e, _ in ARRAYS] + [enc.cisr_plus(2)], ids=lambda e: e.name)
 def test_round_trip(spark, e):
     rng = random.Random(5)
     cells = rng.sample(list(itertools.product(range(9), range(7))), 20)
     t = SparseTensor.from_rows(spark, [(i, j, float(rng.randint(1, 9))) for i, j in cells], (9, 7)).convert(e)
-    back = SparseTensor.from_levels(t.levels(), t.shape, e)
-    assert back.check(t)
+    assert SparseTensor.from_levels(t.levels(), t.shape, e).check(t) and t.stored().check(t)
     if e.blocks and e.name != "ELL":
         assert kernels.from_blocks(t.storage().blocks(), t).check(t)
 
@@ -95,7 +148,7 @@ def test_kernels_agree_in_every_format(spark, small):
     want = [(0, 5.0), (1, 11.0), (2, 0.0), (3, 64.0)]
     for e, _ in ARRAYS[:6]:
         t = small.convert(e)
-        assert rows(kernels.spmv(SparseTensor.from_levels(t.levels(), t.shape, e), b, dense=True), "i", "x") == want
+        assert rows(kernels.spmv(t.stored(), b, dense=True), "i", "x") == want
     t = small.convert(enc.DIA1)
     assert rows(kernels.blocks_spmv(t.storage().blocks(), t, b), "i", "x") == [w for w in want if w[0] != 2]
 
@@ -172,11 +225,33 @@ def test_schedule_of_many_rows(spark, order):
     assert r.where("bucket <> i % 4").isEmpty()
 
 
+def test_schedule_in_order_is_balanced(spark, monkeypatch):
+    rng = random.Random(3)
+    nnz = [rng.choice([0, 1, 1, 2, 30]) for _ in range(500)]
+    monkeypatch.setattr(indirect, "ROWS_AT_ONCE", 100)
+    d = spark.createDataFrame(list(enumerate(nnz)), "i long, nnz long").repartition(3)
+    got = rows(indirect.schedule(d, 4), "i", "bucket")
+    assert [i for i, _ in got] == list(range(500))
+    assert [b for _, b in got] == [b for k in range(0, 500, 100) for b in greedy(nnz[k : k + 100], 4)]
+
+
+def test_wide_spmm_rows(spark, small):
+    b = spark.createDataFrame([(k, [float(k * 1000 + c) for c in range(1000)]) for k in range(6)], "k long, row array<double>")
+    got = {r.i: r.row for r in kernels.spmm_rows(small, b, 1000).collect()}
+    assert got == {i: [sum(v * (j * 1000 + c) for x, j, v in ROWS if x == i) for c in range(1000)] for i in (0, 1, 3)}
+
+
+def test_tns(spark, tmp_path, small):
+    p = tmp_path / "m.tns"
+    p.write_text("# a comment\n" + "".join(f"{i + 1} {j + 1}  {v}\n" for i, j, v in ROWS) + "\n")
+    assert mtx.read_tns(spark, str(p), (4, 6)).check(small) and mtx.read_tns(spark, str(p)).shape == (4, 5)
+
+
 def test_decompose(small):
     d = dec.window_parts(small, [0.5, 0.75], "block", 2, 2)
     assert rows(d, "i", "j", "part") == [(0, 0, 2), (0, 1, 2), (1, 0, 2), (1, 1, 2), (3, 0, 0), (3, 3, 0), (3, 4, 0)]
     parts = struct_convert(dec.decompose(small, [0.5, 0.75], "block", 2, 2), [enc.CSR, enc.DIA1, enc.csb(2, 3)])
-    assert whole([SparseTensor.from_levels(p.levels(), p.shape, p.encoding) for p in parts]).check(small)
+    assert whole([p.stored() for p in parts]).check(small)
     for pair in (dec.decompose_bdia(small, 2, 1.0), dec.decompose_bell(small, 2, 0.5, 1.0)):
         assert whole(pair).check(small)
     with pytest.raises(ValueError):

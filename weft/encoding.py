@@ -107,16 +107,17 @@ class Encoding:
     """A format. trim: first and last level with stored coordinates; fuse: levels stored once per distinct prefix. Levels before trim are dense (a pointer
     array stands on the last of them, or on the root), levels after it are dense blocks of values. Validated when made.
 
-    indirect holds options of indirect levels: {"sum": level, "enumerate": True, "reorder": True, "schedule": buckets}; layout {"pack": (..), "partition": (..)};
-    bit_width is kept as a note.
+    indirect holds options of indirect levels: {"sum": level, "enumerate": True, "reorder": True, "schedule": buckets}; sum names the level of the matrix whose entries are
+    counted (0: rows, 1: columns). layout: {"pack": ..} draws the coordinates of the last stored level and the values into one array of pairs, {"partition": (level,)}
+    lays the entries out by a level. Formats with other options aren't equal. bit_width is kept as a note.
     """
 
     name: str
     levels: tuple[str, ...]
     trim: tuple[int, int]
     fuse: tuple[int, ...] = ()
-    indirect: dict = field(default_factory=dict, compare=False)
-    layout: dict = field(default_factory=dict, compare=False)
+    indirect: dict = field(default_factory=dict, hash=False)
+    layout: dict = field(default_factory=dict, hash=False)
     bit_width: int = 8
 
     def __post_init__(self):
@@ -172,8 +173,8 @@ class Encoding:
         return ((u * y.b - v * x.b) * det).cast("long"), ((v * x.a - u * y.a) * det).cast("long")
 
     def ranges(self, shape: tuple[int, int]) -> list[tuple[int, int]]:
-        """(least value, size) of each level; indirect levels have size -1, known from data."""
-        return [(0, -1) if x.kind == "indirect" else x.range(shape) for x in self.parsed]
+        """(least value, size) of each level. An indirect level has as many places as buckets; the number of slots isn't known without the data (size -1)."""
+        return [(0, -1 if self.indirect.get("enumerate") else self.indirect.get("schedule", -1)) if x.kind == "indirect" else x.range(shape) for x in self.parsed]
 
 
 def _tiles(r: int, c: int) -> tuple[str, ...]:

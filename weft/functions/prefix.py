@@ -9,20 +9,26 @@ from pyspark.sql import functions as F
 BLOCK = 1 << 16
 
 
-def running(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Add `name`: the sum of value over all smaller keys (key: unique whole numbers). Two steps: within blocks of the key, then over block totals, which are 1 / BLOCK of the keys."""
+def running(df: DataFrame, key: str, value: str, name: str, bound: int | None = None) -> DataFrame:
+    """Add `name`: the sum of value over all smaller keys (key: unique whole numbers, below `bound` if that is given).
+
+    Within blocks of the key, then over block totals, which are 1 / BLOCK of the keys; where the bound leaves more than BLOCK blocks, block totals are summed the same way.
+    """
     b = df.withColumn("_block", F.floor(F.col(key) / BLOCK).cast("long"))
     before = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = b.groupBy("_block").agg(F.sum(value).alias("_t"))
-    totals = totals.select("_block", before(Window.orderBy("_block"), "_t").alias("_base"))
+    if bound and bound // BLOCK > BLOCK:
+        totals = running(totals.select(F.col("_block").alias("_b"), "_t"), "_b", "_t", "_sum", bound // BLOCK + 1).select(F.col("_b").alias("_block"), F.col("_sum").alias("_base"))
+    else:
+        totals = totals.select("_block", before(Window.orderBy("_block"), "_t").alias("_base"))
     inner = before(Window.partitionBy("_block").orderBy(key), value)
     return b.withColumn("_in", inner).join(totals, "_block").withColumn(name, (F.col("_in") + F.col("_base")).cast("long")).drop("_block", "_in", "_base")
 
 
-def positioned(df: DataFrame, order: list[str], lead: Column, name: str = "pos") -> DataFrame:
-    """Add `name`: the row's place (from 0) in the order. `lead` is a whole number that never falls along the order; rows are numbered inside each
+def positioned(df: DataFrame, order: list[str], lead: Column, name: str = "pos", bound: int | None = None) -> DataFrame:
+    """Add `name`: the row's place (from 0) in the order. `lead` is a whole number (below `bound`) that never falls along the order; rows are numbered inside each
     of its values and moved up by the rows before, so the work of one task is bounded by one value of lead, not by the table."""
     d = df.withColumn("_lead", lead.cast("long"))
-    start = running(d.groupBy("_lead").agg(F.count("*").alias("_n")), "_lead", "_n", "_start").select("_lead", "_start")
+    start = running(d.groupBy("_lead").agg(F.count("*").alias("_n")), "_lead", "_n", "_start", bound).select("_lead", "_start")
     rn = F.row_number().over(Window.partitionBy("_lead").orderBy(*order)) - 1
     return d.withColumn("_rn", rn).join(start, "_lead").withColumn(name, F.col("_rn") + F.col("_start")).drop("_lead", "_rn", "_start")

@@ -5,22 +5,28 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.dense import dense
 from ..functions.prefix import positioned
 
+#: Rows in index order that are scheduled together.
+ROWS_AT_ONCE = 1 << 16
+
 
 def sums(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, nnz): entries of each prefix."""
     return df.groupBy(*keys).agg(F.count("*").alias("nnz"))
 
 
-def row_counts(tensor) -> DataFrame:
-    """(i, nnz) of every row, empty ones too."""
-    every = tensor.df.sparkSession.range(tensor.shape[0]).select(F.col("id").alias("i"))
-    return every.join(sums(tensor.df, "i"), "i", "left").select("i", F.coalesce("nnz", F.lit(0)).alias("nnz"))
+def row_counts(tensor, level: int = 0) -> DataFrame:
+    """(i, nnz) of every row, empty ones too; level 1: of every column."""
+    every = tensor.df.sparkSession.range(tensor.shape[level]).select(F.col("id").alias("i"))
+    n = sums(tensor.df.select(F.col("ij"[level]).alias("i")), "i")
+    return every.join(n, "i", "left").select("i", F.coalesce("nnz", F.lit(0)).alias("nnz"))
 
 
 def enumerate_slots(df: DataFrame, key: str = "i", along: str = "j", name: str = "slot", run: int = 4096) -> DataFrame:
@@ -45,26 +51,26 @@ def schedule(counts: DataFrame, buckets: int, order: str = "i", limit: int | Non
     """(i, nnz, bucket): rows in order, each to the bucket with the fewest entries so far (ties to the lower bucket). Over `limit` rows, if given, this raises ValueError.
 
     By "rank" (falling nnz, from reorder) equal rows are placed together: the driver gets the number of rows of each nnz, and a row finds its bucket from its rank.
-    In any other order each choice depends on all before it: the counts (not the matrix) pass through one task in order, which holds the loads alone.
+    In index order each choice depends on all before it, so rows are dealt in runs of ROWS_AT_ONCE indexes that start with empty buckets: each run is balanced on its own, as
+    its rows alone would be, and runs are independent groups.
     """
     if limit is not None and (n := counts.count()) > limit:
         raise ValueError(f"{n} rows to schedule, more than {limit}")
-    return _by_runs(counts, buckets) if order == "rank" else _one_by_one(counts, buckets, order)
+    return _by_runs(counts, buckets) if order == "rank" else _in_order(counts, buckets)
 
 
-def _one_by_one(counts: DataFrame, buckets: int, order: str) -> DataFrame:
-    def run(batches):
-        heap = [(0, b) for b in range(buckets)]
-        for t in batches:
-            out = []
-            for x in t.column("nnz").to_pylist():
-                load, b = heap[0]
-                heapq.heapreplace(heap, (load + x, b))
-                out.append(b)
-            yield pa.RecordBatch.from_arrays([t.column("i"), t.column("nnz"), pa.array(out, pa.int32())], ["i", "nnz", "bucket"])
+def _in_order(counts: DataFrame, buckets: int) -> DataFrame:
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("i", kind="stable")
+        heap, out = [(0, b) for b in range(buckets)], []
+        for x in g.nnz.tolist():
+            load, b = heap[0]
+            heapq.heapreplace(heap, (load + x, b))
+            out.append(b)
+        return pd.DataFrame({"i": g.i, "nnz": g.nnz, "bucket": np.array(out, np.int32)})
 
-    d = counts.select(F.col("i").cast("long"), F.col("nnz").cast("long"), F.col(order).alias("_order")).repartition(1).sortWithinPartitions("_order")
-    return d.select("i", "nnz").mapInArrow(run, "i long, nnz long, bucket int")
+    d = counts.select(F.col("i").cast("long"), F.col("nnz").cast("long"))
+    return d.groupBy(F.floor(F.col("i") / ROWS_AT_ONCE)).applyInPandas(run, "i long, nnz long, bucket int")
 
 
 def _steady(loads: np.ndarray, x: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -151,33 +157,46 @@ def pack(df: DataFrame, start: int, end: int, name: str = "packed") -> DataFrame
     return df.withColumn(name, F.struct(*cols)).drop(*cols)
 
 
+def unpack(df: DataFrame, name: str = "packed") -> DataFrame:
+    """Level columns again."""
+    return df.select(*[c for c in df.columns if c != name], f"{name}.*")
+
+
 def partition(df: DataFrame, parts: int, *levels: str) -> DataFrame:
     """Lay rows out by level columns."""
     return df.repartition(parts, *levels)
 
 
 def with_indirect(tensor) -> DataFrame:
-    """Level columns and v of a format whose first level comes from the data: slots (enumerate), or scheduled buckets of rows, reordered before if asked."""
+    """Level columns and v of a format whose first level comes from the data: slots (enumerate), or scheduled buckets of rows, reordered before if asked.
+
+    The option sum says which index is counted: 0, rows (l1 is i, l2 is j), or 1, columns (numbered along rows; l1 and l2 are still i and j).
+    """
     o = tensor.encoding.indirect
+    level = o.get("sum", 0)
+    key, along = "ij"[level], "ij"[1 - level]
     if o.get("enumerate"):
-        return enumerate_slots(tensor.df).select(F.col("slot").alias("l0"), F.col("i").alias("l1"), F.col("j").alias("l2"), "v")
-    counts = row_counts(tensor)
+        return enumerate_slots(tensor.df, key, along).select(F.col("slot").alias("l0"), F.col("i").alias("l1"), F.col("j").alias("l2"), "v")
+    if not o.get("schedule"):
+        raise ValueError(f"{tensor.encoding.name}: an indirect level needs enumerate or schedule")
+    counts = row_counts(tensor, level)
     if o.get("reorder"):
         counts = reorder(counts)
-    rows = schedule(counts, o["schedule"], "rank" if o.get("reorder") else "i").select("i", F.col("bucket").cast("long").alias("l0"))
-    return tensor.df.join(rows, "i").select("l0", F.col("i").alias("l1"), F.col("j").alias("l2"), "v")
-
-
-def ell_arrays(tensor, limit: int = 10_000_000) -> DataFrame:
-    """(slot, crd, values): the slot-major arrays of ELL, one place for each row; places without an entry hold 0."""
-    m = tensor.shape[0]
-    if m > limit:
-        raise ValueError(f"{m} rows in one array, more than {limit}; use enumerate_slots")
-    d = enumerate_slots(tensor.df)
-    g = d.groupBy("slot").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("j", "v")))).alias("m"))
-    rows = F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))
-    at = lambda f, z: F.transform(rows, lambda k: F.coalesce(F.element_at("m", k)[f], F.lit(z)))
-    return g.select("slot", at("j", 0).alias("crd"), at("v", 0.0).alias("values"))
+    rows = schedule(counts, o["schedule"], "rank" if o.get("reorder") else "i").select(F.col("i").alias(key), F.col("bucket").cast("long").alias("l0"))
+    return tensor.df.join(rows, key).select("l0", F.col("i").alias("l1"), F.col("j").alias("l2"), "v")
+
+
+def ell_arrays(tensor, chunk: int = 1 << 16) -> DataFrame:
+    """(slot, chunk, crd, values): the slot-major arrays of ELL, one place for each row, in chunks of that many rows; places without an entry hold 0.
+
+    A chunk without any entry isn't stored. The last chunk ends with the last row.
+    """
+    m = max(1, tensor.shape[0])
+    chunk = min(chunk, m)
+    d = enumerate_slots(tensor.df).withColumn("chunk", F.floor(F.col("i") / chunk)).withColumn("_at", F.pmod("i", F.lit(chunk)))
+    out = dense(d, ["slot", "chunk"], "_at", chunk, {"crd": "j", "values": "v"})
+    left = F.least(F.lit(chunk), m - F.col("chunk") * chunk).cast("int")
+    return out.select("slot", "chunk", F.slice("crd", 1, left).alias("crd"), F.slice("values", 1, left).alias("values"))
 
 
 def bell(tensor, r: int, c: int) -> DataFrame:

@@ -27,11 +27,15 @@ def spmm(a: SparseTensor, b: DataFrame) -> DataFrame:
     return a.df.withColumnRenamed("j", "k").join(b.select("k", "j", "b"), "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("b")).alias("x"))
 
 
-def spmm_rows(a: SparseTensor, b: DataFrame, width: int) -> DataFrame:
-    """(i, row): the same with rows of B as arrays (k, row) of `width` numbers; entries are joined once, not once a column, and each output place is one sum."""
-    d = a.df.withColumnRenamed("j", "k").join(b.select("k", "row"), "k")
-    each = d.groupBy("i").agg(*[F.sum(F.col("v") * F.col("row")[c]).alias(f"_{c}") for c in range(width)])
-    return each.select("i", F.array(*[f"_{c}" for c in range(width)]).alias("row"))
+def spmm_rows(a: SparseTensor, b: DataFrame, width: int, chunk: int = 32) -> DataFrame:
+    """(i, row): the same with rows of B as arrays (k, row) of `width` numbers, at any width: rows are cut into chunks of columns, entries are joined once, and each row of the
+    aggregate sums one chunk, so the plan doesn't grow with the width."""
+    chunk = min(chunk, max(width, 1))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(max(width - 1, 0) // chunk)), lambda c: F.struct(c.alias("c"), F.slice("row", c * chunk + 1, chunk).alias("x")))
+    d = a.df.withColumnRenamed("j", "k").join(b.select("k", parts.alias("_parts")), "k").select("i", "v", F.explode("_parts").alias("_p"))
+    each = d.groupBy("i", F.col("_p.c").alias("c")).agg(*[F.sum(F.col("v") * F.get("_p.x", F.lit(n))).alias(f"_{n}") for n in range(chunk)])
+    rows = each.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("c", F.array(*[f"_{n}" for n in range(chunk)]).alias("x")))).alias("p"))
+    return rows.select("i", F.slice(F.flatten(F.transform("p", lambda x: x["x"])), 1, width).alias("row"))
 
 
 def spgemm(a: SparseTensor, b: SparseTensor, out: Encoding = COO) -> SparseTensor:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indirect import enumerate_slots, pack, partition, reorder, schedule, sums  # noqa: F401
+from ..functions.dense import dense
+from .indirect import enumerate_slots, pack, partition, reorder, schedule, sums, unpack  # noqa: F401
 
 
 def _levels(df: DataFrame) -> list[str]:
@@ -85,8 +86,7 @@ def vectorize(df: DataFrame, level: int, size: int) -> DataFrame:
     """(l0.., block): one dense block of `size` places along `level` for each prefix; duplicates are summed."""
     keys = _levels(df)[:level]
     cells = df.groupBy(*keys, f"l{level}").agg(F.sum("v").alias("v"))
-    m = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(f"l{level}", "v"))).alias("m"))
-    return m.select(*keys, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(size - 1).cast("long")), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("block"))
+    return dense(cells, keys, f"l{level}", size, {"block": "v"})
 
 
 def devectorize(blocks: DataFrame, level: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Pointer, coordinate and value arrays of a format, built only when asked for."""
+"""Pointer, coordinate and value arrays of a format, built only when asked for, and coordinates from these arrays."""
 
 from __future__ import annotations
 
@@ -7,25 +7,36 @@ from math import prod
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..encoding import Encoding
+from ..functions.dense import dense, spread
 from ..functions.prefix import positioned, running
+from ..functions.shared import new_path
 
 #: Longest dense block of one stored prefix.
 BLOCK_LIMIT = 10_000_000
 #: Longest dense pointer array.
 DENSE_LIMIT = 10**12
+#: Neighbouring coordinates that are numbered together.
+_RUN = 4096
 
 
 class Storage:
     """The storage view of a tensor. Levels count from 0; -1 is the root. Arrays are DataFrames (pos, x), blocks (pos, block).
 
     Entries follow the level order; equal coordinates follow by value. Duplicates are kept, but summed before they go into dense blocks.
+    Slots (ELL) are stored as arrays with one place for each row: blocks() gives (pos, slot, chunk, crd, block).
     """
 
     def __init__(self, tensor):
         self.tensor, self.encoding = tensor, tensor.encoding
         self.a, self.b = self.encoding.trim
         self.ranges = self.encoding.ranges(tensor.shape)
+        self.slots = bool(self.encoding.indirect.get("enumerate"))
         self.rows = tensor.levels()
+        if any(x.kind == "indirect" for x in self.encoding.parsed):  # made from counts of the data: once, not for each array
+            spark, path = self.rows.sparkSession, new_path(self.rows.sparkSession, "levels")
+            self.rows.write.parquet(path)
+            self.rows = spark.read.schema(self.rows.schema).parquet(path)
 
     @property
     def sizes(self) -> list[int]:
@@ -34,24 +45,45 @@ class Storage:
     def _names(self, k: int) -> list[str]:
         return [f"l{x}" for x in range(k + 1)]
 
-    def _lead(self, k: int) -> Column:
-        """Whole number along the order of the first levels: the first level, and the second in runs of 4096."""
-        x = F.col("l0") - self.ranges[0][0]
-        if k >= 1 and self.sizes[1] > 0:
-            runs = -(-(self.sizes[1] + 1) // 4096) + 1
-            x = x * runs + F.floor((F.col("l1") - self.ranges[1][0]) / 4096)
-        return x
+    def _radix(self, levels: range) -> Column:
+        """Place of the levels' coordinates in row-major order."""
+        at = F.lit(0).cast("long")
+        for x in levels:
+            if self.sizes[x] < 0:
+                raise ValueError(f"{self.encoding.name}: the size of level {x} isn't known without the data")
+            at = at * self.sizes[x] + (F.col(f"l{x}") - self.ranges[x][0])
+        return at
+
+    def _lead(self, k: int) -> tuple[Column, int | None]:
+        """A whole number along the order of levels 0 to k, which changes every _RUN neighbours of level k at least, and its bound. So no row is one task."""
+        last = F.floor((F.col(f"l{k}") - self.ranges[k][0]) / _RUN)
+        if k == 0:
+            return last, None if self.sizes[0] < 0 else self.sizes[0] // _RUN + 1
+        runs = self.sizes[k] // _RUN + 1
+        return self._radix(range(k)) * runs + last, prod(self.sizes[:k]) * runs
+
+    def _placed(self, df: DataFrame, k: int, order: list[str]) -> DataFrame:
+        lead, bound = self._lead(k)
+        return positioned(df, order, lead, bound=bound)
 
     def _leaves(self) -> DataFrame:
         """Stored entries at the last trimmed level: all rows, or distinct prefixes where dense blocks follow."""
         cut = self.rows.select(*self._names(self.b), *([] if self.encoding.blocks else ["v"]))
         return cut.distinct() if self.encoding.blocks else cut
 
+    def _same_entries(self, k: int) -> int:
+        """The last level that has the entries of level k: below a level that isn't fused each entry repeats its coordinate."""
+        while k < self.b and k not in self.encoding.fuse:
+            k += 1
+        return k
+
     def entries(self, k: int) -> DataFrame:
         """Entries of level k: distinct prefixes if it is fused, else one for each entry below."""
-        rows = self._leaves() if k == self.b else self.entries(k + 1)
-        rows = rows.select(*self._names(k))
-        return rows.distinct() if k in self.encoding.fuse else rows
+        last = self._same_entries(k)
+        if last == self.b:
+            rows = self._leaves().drop("v")
+            return rows.distinct() if self.b in self.encoding.fuse and last == k and not self.encoding.blocks else rows
+        return self.rows.select(*self._names(last)).distinct()
 
     def size(self, k: int) -> int:
         return self.entries(k).count()
@@ -60,9 +92,12 @@ class Storage:
         """(pos, x): stored coordinates of level k."""
         if not self.a <= k <= self.b:
             raise ValueError(f"level {k} of {self.encoding.name} stores no coordinates")
-        rows = self.entries(k) if self.encoding.blocks or k < self.b or k in self.encoding.fuse else self._leaves()
-        order = self._names(k) + (["v"] if "v" in rows.columns else [])
-        return positioned(rows, order, self._lead(k)).select("pos", F.col(f"l{k}").alias("x"))
+        last = self._same_entries(k)
+        rows = self.entries(k)
+        order = self._names(last)
+        if last == self.b and not self.encoding.blocks and last not in self.encoding.fuse:
+            rows, order = self._leaves(), [*order, "v"]
+        return self._placed(rows, last, order).select("pos", F.col(f"l{k}").alias("x"))
 
     def ptr(self, k: int) -> DataFrame:
         """(pos, x): pointers from level k (-1: the root) into the entries of level k + 1, with a last one past the end."""
@@ -71,56 +106,176 @@ class Storage:
             below = self.entries(self.a)
             if k < 0:
                 return below.agg(F.count("*").alias("n")).select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("pos"), F.lit(0).cast("long").alias("x")), F.struct(F.lit(1).cast("long").alias("pos"), F.col("n").alias("x")))).alias("p")).select("p.*")
+            at = self._radix(range(k + 1))
             total = prod(self.sizes[: k + 1])
             if total > DENSE_LIMIT:
                 raise ValueError(f"{self.encoding.name}: {total} dense positions at level {k}")
-            at = F.lit(0).cast("long")
-            for x in range(k + 1):
-                at = at * self.sizes[x] + (F.col(f"l{x}") - self.ranges[x][0])
             counts = below.groupBy(at.alias("pos")).agg(F.count("*").alias("n"))
             every = spark.range(total + 1).select(F.col("id").alias("pos")).join(counts, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).alias("n"))
-            return running(every, "pos", "n", "x").select("pos", "x")
+            return running(every, "pos", "n", "x", total + 1).select("pos", "x")
         if not (self.a <= k < self.b and k in self.encoding.fuse):
             raise ValueError(f"level {k} of {self.encoding.name} has no pointers")
         counts = self.entries(k + 1).groupBy(*self._names(k)).agg(F.count("*").alias("n"))
-        at = positioned(counts, self._names(k), self._lead(k)).select("pos", "n")
+        at = self._placed(counts, k, self._names(k)).select("pos", "n")
         end = at.agg(F.count("*").alias("pos"), F.lit(0).cast("long").alias("n"))
-        return running(at.unionByName(end), "pos", "n", "x").select("pos", "x")
+        return running(at.unionByName(end), "pos", "n", "x", 1 << 40).select("pos", "x")
 
     def value(self) -> DataFrame:
         """(pos, v) in storage order; of a format with dense blocks use blocks()."""
         if self.encoding.blocks:
             raise ValueError(f"{self.encoding.name} stores dense blocks")
-        return positioned(self._leaves(), [*self._names(self.b), "v"], self._lead(self.b)).select("pos", "v")
+        return self._placed(self._leaves(), self.b, [*self._names(self.b), "v"]).select("pos", "v")
+
+    def packed(self) -> DataFrame:
+        """(pos, pair): the last level's coordinate and the value of each entry together, as a format with a packed layout keeps them."""
+        if self.encoding.blocks:
+            raise ValueError(f"{self.encoding.name} stores dense blocks")
+        rows = self._placed(self._leaves(), self.b, [*self._names(self.b), "v"])
+        return rows.select("pos", F.struct(F.col(f"l{self.b}").alias("crd"), "v").alias("pair"))
+
+    def partitioned(self, parts: int | None = None) -> DataFrame:
+        """Level columns and v laid out by the levels that the format's layout names: entries that agree in them are in one partition, in storage order."""
+        by = [f"l{k}" for k in self.encoding.layout.get("partition", (0,))]
+        names = [c for c in self.rows.columns if c != "v"]
+        laid = self.rows.repartition(parts, *by) if parts else self.rows.repartition(*by)
+        return laid.sortWithinPartitions(*by, *names, "v")
 
     def blocks(self, limit: int = BLOCK_LIMIT) -> DataFrame:
-        """(pos, block): one dense row-major block of values for each stored prefix; empty places are 0."""
+        """(pos, l0.., block): one dense row-major block of values for each stored prefix; empty places are 0."""
         if not self.encoding.blocks:
             raise ValueError(f"{self.encoding.name} stores no dense blocks")
-        tail = self.sizes[self.b + 1 :]
-        n = prod(tail)
+        if self.slots:
+            from .indirect import ell_arrays
+
+            e = ell_arrays(self.tensor)
+            return e.select(F.col("slot").alias("pos"), F.col("slot").alias("l0"), "chunk", "crd", F.col("values").alias("block"))
+        tail = range(self.b + 1, len(self.sizes))
+        n = prod(self.sizes[k] for k in tail)
         if n > limit:
             raise ValueError(f"{self.encoding.name}: a block has {n} places, more than {limit}")
-        at = F.lit(0).cast("long")
-        for k, s in enumerate(tail, self.b + 1):
-            at = at * s + (F.col(f"l{k}") - self.ranges[k][0])
         names = self._names(self.b)
-        cells = self.rows.groupBy(*names, at.alias("at")).agg(F.sum("v").alias("v"))
-        packed = cells.groupBy(*names).agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
-        dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0)))
-        return positioned(packed, names, self._lead(self.b)).select("pos", *names, dense.alias("block"))
+        cells = self.rows.groupBy(*names, self._radix(tail).alias("at")).agg(F.sum("v").alias("v"))
+        return self._placed(dense(cells, names, "at", n, {"block": "v"}), self.b, names).select("pos", *names, "block")
 
-    def arrays(self) -> dict[str, list]:
-        """All arrays as lists, for small matrices and tests."""
-        get = lambda df, c: [r[c] for r in df.orderBy("pos").collect()]
-        out = {("root" if self.a == 0 else f"L{self.a - 1}") + ".ptr": get(self.ptr(self.a - 1), "x")}
+    def frames(self) -> dict[str, DataFrame]:
+        """All arrays by name: root.ptr or L<k>.ptr, L<k>.crd, and values (pos, v), packed (pos, pair) or blocks (pos, block)."""
+        out = {("root" if self.a == 0 else f"L{self.a - 1}") + ".ptr": self.ptr(self.a - 1)}
+        pack = "pack" in self.encoding.layout
         for k in range(self.a, self.b + 1):
-            out[f"L{k}.crd"] = get(self.crd(k), "x")
+            if not (pack and k == self.b):
+                out[f"L{k}.crd"] = self.crd(k)
             if k < self.b and k in self.encoding.fuse:
-                out[f"L{k}.ptr"] = get(self.ptr(k), "x")
-        out["values"] = get(self.blocks(), "block") if self.encoding.blocks else get(self.value(), "v")
+                out[f"L{k}.ptr"] = self.ptr(k)
+        if self.encoding.blocks:
+            b = self.blocks()
+            out["values"] = b.select("pos", "chunk", "crd", "block") if self.slots else b.select("pos", "block")
+        else:
+            out["values"] = self.packed() if pack else self.value()
+        return out
+
+    def long(self) -> DataFrame:
+        """(array, pos, x): all numbers of all arrays in one table. A place of a block stands at its block's position times the block's size; empty places are left out.
+        A packed pair gives its coordinate under its level's name. Of slots, the place is the row's."""
+        n = prod(s for s in self.sizes[self.b + 1 :]) if self.encoding.blocks and not self.slots else 1
+        parts = []
+        for name, df in self.frames().items():
+            if name == "values" and self.slots:
+                from .indirect import ROWS_AT_ONCE
+
+                m, chunk = max(1, self.tensor.shape[0]), min(ROWS_AT_ONCE, max(1, self.tensor.shape[0]))
+                cells = df.select("pos", "chunk", F.posexplode(F.arrays_zip("crd", "block")).alias("at", "p")).where("p.block <> 0")
+                at = F.col("pos") * m + F.col("chunk") * chunk + F.col("at")
+                parts += [cells.select(F.lit(k).alias("array"), at.alias("pos"), F.col(c).cast("double").alias("x")) for k, c in (("crd", "p.crd"), ("values", "p.block"))]
+            elif "block" in df.columns:
+                parts.append(df.select("pos", F.posexplode("block").alias("at", "x")).where("x <> 0").select(F.lit(name).alias("array"), (F.col("pos") * n + F.col("at")).alias("pos"), "x"))
+            elif "pair" in df.columns:
+                parts += [df.select(F.lit(k).alias("array"), "pos", F.col(c).cast("double").alias("x")) for k, c in ((f"L{self.b}.crd", "pair.crd"), ("values", "pair.v"))]
+            else:
+                parts.append(df.select(F.lit(name).alias("array"), "pos", F.col("v" if "v" in df.columns else "x").cast("double").alias("x")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def arrays(self) -> dict[str, list]:
+        """All arrays as lists, for small matrices and tests. Slots give one list of coordinates (crd) and one of values for each."""
+        out = {}
+        for name, df in self.frames().items():
+            rows = df.orderBy(*(c for c in ("pos", "chunk") if c in df.columns)).collect()
+            if self.slots and name == "values":
+                slots = sorted({r["pos"] for r in rows})
+                out["crd"], out["values"] = ([[x for r in rows if r["pos"] == s for x in r[c]] for s in slots] for c in ("crd", "block"))
+            else:
+                c = df.columns[-1]
+                out[name] = [tuple(r[c]) if c == "pair" else r[c] for r in rows]
         return out
 
     def show(self) -> None:
         for k, v in self.arrays().items():
             print(f"{k}={v}")
+
+
+def _children(ptr: DataFrame) -> DataFrame:
+    """(up, pos): the entries that each position of a pointer array points to."""
+    nxt = ptr.select((F.col("pos") - 1).alias("up"), F.col("x").alias("past"))
+    return spread(ptr.select(F.col("pos").alias("up"), F.col("x").alias("start")).join(nxt, "up"), "start", "past", "pos")
+
+
+def levels_from_arrays(frames: dict[str, DataFrame], shape: tuple[int, int], encoding: Encoding) -> DataFrame:
+    """Level columns and v from the arrays that Storage.frames names, for every format.
+
+    Pointers are spread to the positions of their entries, from the root (or the dense levels) down, and each array is joined by position. Stored zeros inside dense
+    blocks can't be told from padding and are lost.
+    """
+    a, b = encoding.trim
+    ranges = encoding.ranges(shape)
+    first = frames[("root" if a == 0 else f"L{a - 1}") + ".ptr"]
+    if encoding.indirect.get("enumerate"):
+        chunk = min(1 << 16, max(1, shape[0]))
+        slots = frames["L0.crd"].select("pos", F.col("x").alias("l0")).join(frames["values"], "pos")
+        cells = slots.select("l0", "chunk", F.posexplode(F.arrays_zip("crd", "block")).alias("at", "p")).where("p.block <> 0")
+        return cells.select("l0", (F.col("chunk") * chunk + F.col("at")).cast("long").alias("l1"), F.col("p.crd").alias("l2"), F.col("p.block").alias("v"))
+    d = _children(first)
+    rest = F.col("up")
+    for k in reversed(range(a)):  # the dense levels, from the position
+        lo, size = ranges[k]
+        d = d.withColumn(f"l{k}", F.pmod(rest, F.lit(size).cast("long")) + lo)
+        rest = F.floor(rest / size)
+    d = d.drop("up")
+    for k in range(a, b + 1):
+        if f"L{k}.crd" in frames:
+            d = d.join(frames[f"L{k}.crd"].select("pos", F.col("x").alias(f"l{k}")), "pos")
+        if f"L{k}.ptr" in frames and k < b:
+            d = d.withColumnRenamed("pos", "up").join(_children(frames[f"L{k}.ptr"]), "up").drop("up")
+    d = d.join(frames["values"], "pos").drop("pos")
+    if "pair" in d.columns:
+        return d.select(*[f"l{k}" for k in range(b)], F.col("pair.crd").alias(f"l{b}"), F.col("pair.v").alias("v"))
+    if encoding.blocks:
+        d = d.select(*[f"l{k}" for k in range(b + 1)], F.posexplode("block").alias("_at", "v")).where("v <> 0")
+        rest = F.col("_at").cast("long")
+        for k in reversed(range(b + 1, len(encoding.levels))):
+            lo, size = ranges[k]
+            d = d.withColumn(f"l{k}", F.pmod(rest, F.lit(size).cast("long")) + lo)
+            rest = F.floor(rest / size)
+        d = d.drop("_at")
+    return d
+
+
+def frames_of_lists(spark, lists: dict[str, list], encoding: Encoding) -> dict[str, DataFrame]:
+    """DataFrames of arrays given as lists, in the form of Storage.arrays."""
+    make = lambda rows, schema: spark.createDataFrame([(p, *r) for p, r in enumerate(rows)], f"pos long, {schema}")
+    out = {}
+    for name, x in lists.items():
+        if encoding.indirect.get("enumerate") and name in ("crd", "values"):
+            chunk = 1 << 16
+            rows = [(s, c // chunk, crd[c : c + chunk], [float(x) for x in v[c : c + chunk]]) for s, (crd, v) in enumerate(zip(lists["crd"], lists["values"])) for c in range(0, len(v), chunk)]
+            out["values"] = spark.createDataFrame(rows, "pos long, chunk long, crd array<long>, block array<double>")
+        elif name != "values":
+            out[name] = make([(int(v),) for v in x], "x long")
+        elif encoding.blocks:
+            out[name] = make([([float(u) for u in v],) for v in x], "block array<double>")
+        elif "pack" in encoding.layout:
+            out[name] = make([((int(c), float(v)),) for c, v in x], "pair struct<crd:long,v:double>")
+        else:
+            out[name] = make([(float(v),) for v in x], "v double")
+    return out

@@ -51,6 +51,19 @@ class SparseTensor:
         i, j = encoding.backward()
         return cls(levels.select(i.alias("i"), j.alias("j"), "v"), shape, encoding)
 
+    @classmethod
+    def from_arrays(cls, frames: dict[str, DataFrame], shape: tuple[int, int], encoding: Encoding) -> SparseTensor:
+        """A matrix from the arrays of its format: {name: DataFrame} as Storage.frames gives them, or {name: list} for small ones."""
+        from .operators.storage import frames_of_lists, levels_from_arrays
+
+        if any(not isinstance(x, DataFrame) for x in frames.values()):
+            frames = frames_of_lists(SparkSession.active(), frames, encoding)
+        return cls.from_levels(levels_from_arrays(frames, shape, encoding), shape, encoding)
+
+    def stored(self) -> SparseTensor:
+        """The matrix read back from the arrays of its format."""
+        return SparseTensor.from_arrays(self.storage().frames(), self.shape, self.encoding)
+
     def coalesced(self) -> SparseTensor:
         """Duplicate coordinates summed."""
         return SparseTensor(self.df.groupBy("i", "j").agg(F.sum("v").alias("v")), self.shape, self.encoding)
