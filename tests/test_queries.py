@@ -17,7 +17,8 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+# test_sparse reads each format back from its arrays
+@pytest.mark.parametrize("name", sorted(n for n in q.oracle_sql() if not n.startswith("roundtrip_")))
 def test_against_sql(spark, db, name):
     a, b = q.queries()[name](spark, DATA).toPandas(), db.sql(q.oracle_sql()[name]).df()
     cols = sorted(a.columns)
