@@ -477,28 +477,71 @@ def test_license_plan_is_native(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def links_by_hand(v, least=0.98):
+    """{id: (links, component)} of (id, vector, label) rows: every pair is compared; each id has one vector."""
+    ok = {i: np.array(e) for i, e, x in v if e and i is not None and x is not None and None not in e and np.isfinite(e).all() and np.any(e)}
+    label, links, up = {i: x for i, _, x in v}, collections.Counter(), {}
+    for d in {len(e) for e in ok.values()}:
+        ids = np.array(sorted(i for i in ok if len(ok[i]) == d))
+        x = np.array([ok[i] / np.abs(ok[i]).max() for i in ids])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = x @ x.T >= least
+        near &= np.array([[label[i] == label[j] for j in ids] for i in ids])
+        np.fill_diagonal(near, False)
+        links.update(dict(zip(ids.tolist(), near.sum(axis=1).tolist())))
+        for k in range(len(ids)):
+            if int(ids[k]) not in up:
+                front = np.array([k])
+                while len(front):
+                    up.update({int(ids[f]): int(ids[k]) for f in front})
+                    front = np.array([f for f in np.flatnonzero(near[front].any(axis=0)) if int(ids[f]) not in up])
+    return {i: (links[i], up.get(i, i)) for i, _, _ in v}
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(30, 16))
     v = [(i, (base[i % 30] + rng.normal(size=16) * rng.choice([0.01, 0.1])).tolist(), int(i % 30) % 3) for i in range(240)]
     v += [(300 + i, (base[0] + rng.normal(size=16) * 0.02).tolist(), 0) for i in range(150)]
-    v += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] * 8, 0), (904, [1.0] * 16, None), (905, [], 0), (906, [1.0, 0.0], 0), (907, [2.0, 0.0], 0), (908, base[1].tolist(), 2)]
+    v += [(500 + i, (base[2]).tolist(), 2) for i in range(60)]  # exact copies
+    v += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [1.0, None] * 8, 0), (904, [1.0] * 16, None), (905, [], 0), (906, [1.0, 0.0], 0), (907, [2.0, -0.0], 0), (908, base[1].tolist(), 2)]
+    v += [(910 + i, (base[3] * s).tolist(), 0) for i, s in enumerate([1e200, 1e-200, 3.0])]  # squares overflow and vanish
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>, label int").repartition(3)
-    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, pivots=16, chunk=40).collect()}
-    ok = {i: np.array(e) for i, e, x in v if e and x is not None and None not in e and np.isfinite(e).all() and np.any(e)}
-    label = {i: x for i, _, x in v}
-    cos = lambda a, b: len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= 0.98
-    pairs = {(a, b) for a, b in itertools.combinations(sorted(ok), 2) if label[a] == label[b] and cos(a, b)}
-    links = collections.Counter(x for p in pairs for x in p)
-    assert len(got) == len(v)
-    assert all(got[i]["n_links"] <= links[i] for i in got)
-    assert sum(r["n_links"] for r in got.values()) >= 0.95 * 2 * len(pairs)  # recall against brute force
-    want = linked(sorted(ok), lambda a, b: (a, b) in pairs)
-    assert np.mean([got[i]["component_id"] == want.get(i, i) for i in got]) > 0.97
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(df, chunk=40).collect()}
+    want = links_by_hand(v)
+    assert len(got) == len(v) and want[910][0] >= 2
+    assert all(got[i]["n_links"] <= want[i][0] for i in got)
+    assert sum(r["n_links"] for r in got.values()) >= 0.98 * sum(n for n, _ in want.values())  # recall against brute force
+    assert np.mean([got[i]["component_id"] == want[i][1] for i in got]) > 0.97
+    assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904, 905)) and got[906]["n_links"] == 1
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_embeddings_repeated_rows_and_columns(spark):
+    a, b, c = [1.0, 0.0, 0.2], [1.0, 0.01, 0.2], [0.0, 1.0, 0.0]
+    v = [(1, a, "x"), (1, a, "x"), (2, b, "x"), (2, b, "x"), (3, c, "x"), (None, a, "x"), (4, a, "y"), (5, c, "x"), (5, a, "x")]
+    df = spark.createDataFrame([(*r, 9, 8, 7, "n") for r in v], "vec_id long, embedding array<double>, label string, id long, g long, n long, near string")
+    got = collections.Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.embedding_dedup(df).collect())
+    # 5 has two vectors: one equal to 3's, one to 1's, so all are one component
+    assert got == {(1, 2, 1, True): 2, (2, 2, 1, False): 2, (3, 1, 1, False): 1, (None, 0, None, True): 1, (4, 0, 4, True): 1, (5, 1, 1, False): 1, (5, 2, 1, False): 1}
+
+
+@pytest.mark.parametrize("common", [0.0, 1.0, 2.5])
+def test_recall_of_the_index(spark, common):
+    """Vectors with and without a direction that all share: pairs at the threshold are found, and the reference points don't fall together."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(600, 64)) + common
+    near = base + rng.normal(size=base.shape) * np.linalg.norm(base, axis=1, keepdims=True) * 0.19 / 8
+    v = [(i, x.tolist(), int(i % 600) % 2) for i, x in enumerate(np.concatenate([base, near]))]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>, label int")
+    want = links_by_hand(v)
+    assert sum(n for n, _ in want.values()) > 800
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(df).collect()}
+    assert all(got[i] <= want[i][0] for i in got)
+    assert sum(got.values()) >= 0.97 * sum(n for n, _ in want.values())
+
+
 def test_classifier(spark, texts):
     rng = random.Random(9)
     good = [" ".join(words(rng, 80)) for _ in range(90)]
