@@ -34,22 +34,189 @@ FAMILIES = [
 
 #: Signatures without a name of their own: pattern, keyword, label, confidence.
 PHRASES = [
-    ("permission is hereby granted free of charge to any person obtaining a copy", "hereby granted", "mit", 0.95), ("redistribution and use in source and binary forms", "redistribution", "bsd", 0.95),
-    ("permission to use copy modify and or distribute this software for any purpose", "permission to use", "isc", 0.95), ("this program is free software you can redistribute it and or modify", "free software", "gpl", 0.9),
     ("all rights reserved", "rights reserved", "all-rights-reserved", 0.6), ("(?:released|dedicated|placed|put) (?:in|into|to) the public domain", "public domain", "public-domain", 0.9),
     ("public domain", "public domain", "public-domain", 0.4), ("copyright (?:c )?(?:19|20)[0-9]{2}", "copyright", "copyright", 0.5), ("proprietary (?:and confidential|licen[cs]e|software)", "proprietary", "proprietary", 0.7),
     ("no warrant(?:y|ies)", "warrant", "no-warranty", 0.3), ("as is without warranty of any kind", "warranty", "no-warranty", 0.5), ("terms of (?:use|service)", "terms of", "terms", 0.3), ("or any later version", "later version", "or-later", 0.4),
 ]
 
-#: A document without any of these words holds no rule's match.
-GATE = ["licen", "copyright", "cc by", "cc0", "public domain", "rights reserved", "gpl", "clause bsd", "creative commons", "proprietary", "warrant", "terms of", "later version", "hereby granted", "redistribution", "free software", "permission to use"]
+#: Sentences of licence texts, by label: (pattern, keyword). G, a grant; C, a condition; D, a disclaimer; N, a notice that points to the licence. Each tells its family alone.
+SIGNATURES = {
+    "mit": [
+        ("G", "permission is hereby granted free of charge to any person obtaining a copy(?: of this software and associated documentation files)?", "hereby granted"),
+        ("G", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish", "without restriction"),
+        ("C", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice"),
+        ("D", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise", "copyright holders"),
+        ("N", "(?:this (?:software|project|library|code) is )?(?:distributed|released|made available|licen[cs]ed) under the terms of the mit licen[cs]e", "mit licen"),
+        ("N", "use of this source code is governed by an mit style licen[cs]e", "style licen"),
+    ],
+    "isc": [
+        ("G", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "hereby granted"),
+        ("D", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "disclaims all warrant"),
+        ("D", "in no event shall the author be liable for any special direct indirect or consequential damages", "consequential damages"),
+    ],
+    "bsd": [
+        ("G", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution"),
+        ("C", "redistributions of source code must retain the (?:above )?copyright notice", "redistributions of source"),
+        ("C", "redistributions in binary form must reproduce the (?:above )?copyright notice", "redistributions in binary"),
+        ("D", "this software is provided by the (?:copyright holders|regents|authors?) and contributors as is and any express or implied warranties", "contributors as is"),
+        ("N", "use of this source code is governed by a bsd style licen[cs]e", "style licen"),
+    ],
+    "bsd-3-clause": [
+        ("C", "neither the name of (?:the )?(?:[^ ]+ ){1,8}nor the names of its contributors may be used to endorse or promote products", "endorse or promote"),
+        ("C", "may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote"),
+    ],
+    "bsd-4-clause": [("C", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising materials")],
+    "gpl": [
+        ("G", "this (?:program|library|software|file) is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", "free software"),
+        ("N", "you should have received a copy of the gnu general public licen[cs]e along with this", "received a copy"),
+        ("D", "this program is distributed in the hope that it will be useful but without any warranty", "hope that it will be useful"),
+        ("C", "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program", "derived from the program"),
+        ("C", "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed", "verbatim copies"),
+        ("C", "the licen[cs]es for most software are designed to take away your freedom to share and change it", "freedom to share"),
+        ("C", "you may not copy modify sublicen[cs]e or distribute the program except as expressly provided under this licen[cs]e", "expressly provided"),
+    ],
+    "gpl-2": [("N", "either version 2 of the licen[cs]e or at your option any later version", "at your option"), ("N", "as published by the free software foundation version 2", "software foundation")],
+    "gpl-3": [
+        ("N", "either version 3 of the licen[cs]e or at your option any later version", "at your option"),
+        ("C", "to propagate a work means to do anything with it that without permission would make you directly or secondarily liable", "to propagate a work"),
+        ("C", "the corresponding source for a work in object code form means all the source code needed to generate install", "corresponding source"),
+        ("C", "no covered work shall be deemed part of an effective technological measure", "covered work"),
+    ],
+    "lgpl": [
+        ("G", "you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", "general public licen"),
+        ("N", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with this", "received a copy"),
+        ("C", "a program that contains no derivative of any portion of the library but is designed to work with the library", "portion of the library"),
+        ("C", "the combined work is a work produced by combining or linking an application with the library", "combined work"),
+    ],
+    "agpl": [
+        ("G", "you can redistribute it and or modify it under the terms of the gnu affero general public licen[cs]e", "affero"),
+        ("N", "you should have received a copy of the gnu affero general public licen[cs]e along with this", "affero"),
+        ("C", "your modified version must prominently offer all users interacting with it remotely through a computer network", "interacting with it remotely"),
+    ],
+    "gfdl": [("G", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation licen[cs]e", "free documentation"), ("C", "with no invariant sections no front cover texts and no back cover texts", "invariant sections")],
+    "apache-2.0": [
+        ("G", "licen[cs]ed under the apache licen[cs]e version 2 0 the licen[cs]e you may not use this file except in compliance with the licen[cs]e", "in compliance with the licen"),
+        ("N", "you may obtain a copy of the licen[cs]e at (?:https? )?www apache org licen[cs]es licen[cs]e 2 0", "apache org"),
+        ("D", "unless required by applicable law or agreed to in writing software distributed under the licen[cs]e is distributed on an as is basis", "agreed to in writing"),
+        ("N", "see the licen[cs]e for the specific language governing permissions and limitations under the licen[cs]e", "governing permissions"),
+        ("G", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e", "hereby grants"),
+        ("C", "you must cause any modified files to carry prominent notices stating that you changed the files", "prominent notices"),
+        ("C", "if the work includes a notice text file as part of its distribution then any derivative works that you distribute must include", "notice text file"),
+    ],
+    "apache-1.1": [("C", "this product includes software developed by the apache software foundation", "apache software foundation"), ("C", "products derived from this software may not be called apache nor may apache appear in their name", "may not be called")],
+    "mpl-2.0": [
+        ("N", "this source code form is subject to the terms of the mozilla public licen[cs]e v 2 0", "source code form"),
+        ("N", "if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl"),
+        ("C", "all distribution of covered software in source code form including any modifications that you create", "covered software"),
+    ],
+    "mpl-1.1": [
+        ("N", "the contents of this file are subject to the mozilla public licen[cs]e version 1 1", "contents of this file"),
+        ("N", "the original code is (?:[^ ]+ ){1,6}the initial developer of the original code is", "original code"),
+    ],
+    "epl": [
+        ("N", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", "accompanying materials"),
+        ("C", "a contribution originates from a contributor if it was added to the program by such contributor itself", "contribution originates"),
+    ],
+    "cddl": [
+        ("N", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e", "contents of this file"),
+        ("N", "when distributing covered code include this cddl header in each file", "cddl header"),
+    ],
+    "cpl": [("N", "the accompanying program is provided under the terms of this common public licen[cs]e agreement", "accompanying program")],
+    "artistic": [
+        ("C", "the intent of this document is to state the conditions under which a package may be copied", "package may be copied"),
+        ("C", "such that the copyright holder maintains some semblance of artistic control over the development of the package", "artistic control"),
+        ("N", "you can redistribute it and or modify it under the same terms as perl itself", "terms as perl"),
+        ("C", "you are permitted to use the standard version and create and use modified versions for any purpose without restriction", "standard version"),
+    ],
+    "boost": [
+        ("G", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "organization obtaining"),
+        ("C", "unless such copies or derivative works are solely in the form of machine executable object code", "machine executable"),
+        ("N", "see accompanying file licen[cs]e 1 0 txt or copy at (?:https? )?www boost org", "boost org"),
+    ],
+    "zlib": [
+        ("G", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "granted to anyone"),
+        ("C", "the origin of this software must not be misrepresented you must not claim that you wrote the original software", "misrepresented"),
+        ("C", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "plainly marked"),
+        ("D", "in no event will the authors be held liable for any damages arising from the use of this software", "held liable"),
+    ],
+    "libpng": [("D", "the png reference library is supplied as is the contributing authors", "png reference library")],
+    "unlicense": [
+        ("G", "this is free and unencumbered software released into the public domain", "unencumbered"),
+        ("G", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "anyone is free to"),
+        ("G", "in jurisdictions that recogni[sz]e copyright laws the author or authors of this software dedicate any and all copyright interest", "copyright interest"),
+    ],
+    "cc0": [
+        ("G", "the person who associated a work with this deed has dedicated the work to the public domain", "this deed"),
+        ("G", "to the extent possible under law (?:[^ ]+ ){1,8}(?:has|have) waived all copyright and related or neighbo(?:u)?ring rights", "extent possible under law"),
+        ("N", "creativecommons org publicdomain zero 1 0", "creativecommons org"),
+    ],
+    "cc-by": [("N", "this work is licen[cs]ed under (?:a|the) creative commons attribution(?: [1-4] [05])?(?: international| unported)? licen[cs]e", "creative commons"), ("N", "creativecommons org licen[cs]es by [1-4] [05]", "creativecommons org")],
+    "cc-by-sa": [
+        ("N", "this work is licen[cs]ed under (?:a|the) creative commons attribution share ?alike", "creative commons"), ("N", "creativecommons org licen[cs]es by sa [1-4] [05]", "creativecommons org"),
+        ("C", "if you remix transform or build upon the material you must distribute your contributions under the same licen[cs]e as the original", "build upon the material"),
+        ("N", "text is available under the creative commons attribution share ?alike licen[cs]e", "creative commons"),
+    ],
+    "cc-by-nc": [("N", "creativecommons org licen[cs]es by nc [1-4] [05]", "creativecommons org"), ("C", "you may not use the material for commercial purposes", "commercial purposes")],
+    "cc-by-nd": [("N", "creativecommons org licen[cs]es by nd [1-4] [05]", "creativecommons org"), ("C", "if you remix transform or build upon the material you may not distribute the modified material", "modified material")],
+    "cc-by-nc-sa": [("N", "creativecommons org licen[cs]es by nc sa [1-4] [05]", "creativecommons org"), ("N", "this work is licen[cs]ed under (?:a|the) creative commons attribution non ?commercial share ?alike", "creative commons")],
+    "cc-by-nc-nd": [("N", "creativecommons org licen[cs]es by nc nd [1-4] [05]", "creativecommons org"), ("N", "this work is licen[cs]ed under (?:a|the) creative commons attribution non ?commercial no ?deriv", "creative commons")],
+    "ofl": [
+        ("N", "this font software is licen[cs]ed under the sil open font licen[cs]e", "font software"),
+        ("C", "neither the font software nor any of its individual components in original or modified versions may be sold by itself", "font software"),
+        ("C", "no modified version of the font software may use the reserved font name", "reserved font name"),
+    ],
+    "python": [
+        ("N", "this licen[cs]e agreement is between the python software foundation psf and the individual or organization", "python software foundation"),
+        ("G", "psf hereby grants licensee a nonexclusive royalty free world wide licen[cs]e to reproduce analy[sz]e test perform", "psf hereby grants"),
+    ],
+    "php": [("C", "products derived from this software may not be called php nor may php appear in their name", "may not be called"), ("C", "this product includes php software freely available from", "php software")],
+    "openssl": [("C", "this product includes software developed by the openssl project for use in the openssl toolkit", "openssl"), ("C", "the names openssl toolkit and openssl project must not be used to endorse", "openssl")],
+    "ssleay": [("C", "this product includes cryptographic software written by eric young", "cryptographic software")],
+    "ncsa": [("G", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction", "deal with the software"), ("C", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers", "following disclaimers")],
+    "postgresql": [("G", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "written agreement")],
+    "hpnd": [("G", "permission to use copy modify (?:and )?distribute(?: and sell)? this software and its documentation for any purpose is hereby granted without fee", "its documentation")],
+    "x11": [("C", "except as contained in this notice the name of (?:the )?(?:[^ ]+ ){1,5}shall not be used in advertising or otherwise to promote the sale", "promote the sale")],
+    "curl": [("G", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", "hereby granted provided")],
+    "wtfpl": [("C", "you just do what the fuck you want to", "you just do"), ("G", "everyone is permitted to copy and distribute verbatim or modified copies of this licen[cs]e document and changing it is allowed", "changing it is allowed")],
+    "beerware": [("G", "if we meet some day and you think this stuff is worth it you can buy me a beer", "buy me a beer")],
+    "json": [("C", "the software shall be used for good not evil", "good not evil")],
+    "osl": [("N", "licen[cs]ed under the open software licen[cs]e version", "open software licen")],
+    "afl": [("N", "licen[cs]ed under the academic free licen[cs]e version", "academic free licen")],
+    "eupl": [("N", "licen[cs]ed under the eupl(?: version 1 [0-2])?", "eupl"), ("N", "you may not use this work except in compliance with the licen[cs]e", "use this work except")],
+    "ms-pl": [("C", "this licen[cs]e governs use of the accompanying software if you use the software you accept this licen[cs]e", "accompanying software"), ("G", "each contributor grants you a non exclusive worldwide royalty free copyright licen[cs]e to reproduce its contribution", "reproduce its contribution")],
+    "odbl": [("N", "this (?:[^ ]+ ){1,6}is made available under the open database licen[cs]e", "open database licen"), ("N", "any rights in individual contents of the database are licen[cs]ed under the database contents licen[cs]e", "database contents")],
+    "pddl": [("N", "made available under the public domain dedication and licen[cs]e", "dedication and licen")],
+    "sspl": [("C", "if you make the functionality of the program or a modified version available to third parties as a service", "as a service")],
+    "busl": [("G", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "non production use"), ("C", "effective on the change date", "change date")],
+    "elastic": [("C", "you may not provide the software to third parties as a hosted or managed service", "managed service"), ("C", "you may not move change disable or circumvent the licen[cs]e key functionality", "key functionality")],
+    "commons-clause": [("C", "the grant of rights under the licen[cs]e will not include and the licen[cs]e does not grant to you the right to sell the software", "right to sell")],
+    "polyform": [("C", "the licensor grants you a copyright licen[cs]e for the software to do everything you might do with the software that would otherwise infringe", "otherwise infringe"), ("C", "noncommercial purposes any noncommercial purpose is a permitted purpose", "permitted purpose")],
+    "ecl": [("N", "licen[cs]ed under the educational community licen[cs]e version 2 0", "educational community")],
+    "w3c": [("C", "permission to copy modify and distribute this (?:work|software) and its documentation with or without modification for any purpose and without fee or royalty", "fee or royalty")],
+    "unicode": [("G", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", "unicode data files"), ("N", "unicode inc licen[cs]e agreement data files and software", "unicode inc")],
+    "sleepycat": [("C", "redistributions in any form must be accompanied by information on how to obtain complete source code", "obtain complete source")],
+    "qpl": [("G", "you may copy and distribute the software in unmodified form provided that the entire package", "unmodified form")],
+    "proprietary": [
+        ("C", "unauthori[sz]ed copying of this (?:file|software|document) via any medium is strictly prohibited", "strictly prohibited"),
+        ("C", "no part of this (?:publication|document|book|work) may be reproduced (?:distributed |stored )?(?:or transmitted )?in any form", "may be reproduced"),
+        ("C", "this (?:document|software|information) is (?:the )?confidential and proprietary", "proprietary"),
+        ("C", "may not be disclosed (?:copied |reproduced )?(?:or used )?without (?:the )?(?:prior|express) written (?:consent|permission)", "not be disclosed"),
+        ("C", "reverse engineer decompile or disassemble", "reverse engineer"),
+    ],
+}
+#: How sure a sentence of each kind makes.
+_SURE = {"G": 0.95, "C": 0.85, "D": 0.7, "N": 0.9}
+
 _LEVELS = (10, 20, 30, 40, 50)
+#: Elements of a chunk of a running sum.
+_CHUNK = 128
 
 
 def rules() -> list[dict]:
     """The ordered rules, each with a keyword that its matches hold, a pattern over words parted by one space, a label, a priority and a confidence.
 
-    From each name: the bare name (10), its use in a grant (20), each known version (30), an SPDX line (40), and a refusal (50), which outranks what it contains.
+    Sentences of licence texts (30, a notice 20) and phrases (10) are written out; from each name come the bare name (10), its use in a grant (20), each known version (30), an SPDX line (40), and a
+    refusal (50), which outranks what it contains.
     """
     out = []
     end = "(?= |$)"
@@ -68,28 +235,53 @@ def rules() -> list[dict]:
         spdx = label.replace("-", " ")
         add("spdx licen", f"spdx licen[cs]e identifier {spdx}(?: [0-9]+){{0,2}}(?: only| or later)?", label, 40, 1.0)
         add(keyword, f"(?:not|never) (?:licen[cs]ed|released|distributed|available) under (?:the )?(?:terms of (?:the )?)?{name}", f"not-{label}", 50, 0.8)
+    for label, sentences in SIGNATURES.items():
+        for kind, pattern, keyword in sentences:
+            add(keyword, pattern, label, 20 if kind == "N" else 30, _SURE[kind])
     for pattern, keyword, label, confidence in PHRASES:
         add(keyword, pattern, label, 10, confidence)
     return out
 
 
+def gate() -> list[str]:
+    """Few words such that each rule's keyword holds one of them: a document without any holds no match. The word that most of the keywords left hold comes next, the longest of these first."""
+    left, out = {r["keyword"] for r in rules()}, []
+    while left:
+        words = sorted({w for k in left for w in k.split() if len(w) > 3 or w == k} | {k for k in left if not any(len(w) > 3 for w in k.split())})
+        best = max(words, key=lambda w: (sum(w in k for k in left), len(w)))
+        out.append(best)
+        left = {k for k in left if best not in k}
+    return out
+
+
 def words_only(text: Column) -> Column:
     """Lower case; words (letters a-z, digits, anything beyond ASCII) parted by one space, none at the ends."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text.cast("string"), F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
+def _starts(sizes: Column) -> Column:
+    """Running sums before each element of an array of whole numbers. Sums inside chunks and over chunks, so that no long list is copied for each element."""
+    zero = lambda: F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("all"))
+    step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"])).alias("all"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _CHUNK).cast("int")), lambda k: F.slice(sizes, k * _CHUNK + 1, _CHUNK))
+    inner = F.transform(chunks, lambda c: F.aggregate(c, zero(), step))
+    outer = F.aggregate(F.transform(inner, lambda a: a["sum"]), zero(), step, lambda a: a["all"])
+    both = F.zip_with(inner, outer, lambda a, base: F.transform(a["all"], lambda x: x + base))
+    return F.when(F.size(sizes) > 0, F.flatten(both)).otherwise(F.array().cast("array<bigint>"))
+
+
 def _spans(words: Column, rule: Column) -> Column:
-    """Matches of one rule, each (start, past, level, id, label, confidence), in order."""
+    """Matches of one rule, each (start, past, level, id, label, confidence), in order. A match of a rule that follows another with the same text in between is found like any other."""
     parts = F.split(F.regexp_replace(words, rule["pattern"], F.lit("\u0001$0\u0002")), "\u0001")
-    kind = "array<struct<start:int,past:int,level:int,id:int,label:string,confidence:double>>"
-    first = F.struct(F.length(parts[0]).alias("at"), F.array().cast(kind).alias("found"))
+    # parts after the first: a match, its end mark, and what follows
+    sizes = F.transform(parts, lambda x, i: F.length(x).cast("long") - F.when(i > 0, 1).otherwise(0))
+    found = F.zip_with(parts, _starts(sizes), lambda x, at: F.struct(x.alias("x"), at.alias("at")))
 
-    def step(acc, x):
-        size = F.instr(x, "\u0002") - 1
-        m = F.struct(acc["at"].alias("start"), (acc["at"] + size).alias("past"), rule["level"].alias("level"), rule["id"].alias("id"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
-        return F.struct((acc["at"] + F.length(x) - 1).alias("at"), F.concat(acc["found"], F.array(m)).cast(kind).alias("found"))
+    def match(m):
+        start, size = m["at"].cast("int"), F.instr(m["x"], "\u0002") - 1
+        return F.struct(start.alias("start"), (start + size).alias("past"), rule["level"].alias("level"), rule["id"].alias("id"), rule["label"].alias("label"), rule["confidence"].alias("confidence"))
 
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), first, step, lambda a: a["found"])
+    return F.transform(F.slice(found, 2, F.greatest(F.size(found) - 1, F.lit(0))), match)
 
 
 def detections(words: Column, table: list[dict]) -> Column:
@@ -131,10 +323,10 @@ def license_scan(docs: DataFrame) -> DataFrame:
     table = rules()
     d = docs.select(F.col("doc_id").cast("long"), words_only(F.col("text")).alias("words"))
     n_words = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "))) + 1).cast("long")
-    gate = F.lit(False)
-    for k in GATE:
-        gate = gate | F.contains("words", F.lit(k))
-    d = d.select("doc_id", n_words.alias("n_words"), F.when(gate, F.col("words")).alias("words"))
+    some = F.lit(False)
+    for k in gate():
+        some = some | F.contains("words", F.lit(k))
+    d = d.select("doc_id", n_words.alias("n_words"), F.when(some, F.col("words")).alias("words"))
     # each word between two spaces of its own, so places of a phrase never share one
     apart = F.concat(F.lit(" "), F.replace("words", F.lit(" "), F.lit("  ")), F.lit(" "))
     d = d.select("doc_id", "n_words", "words", *[F.split(apart, re.escape(f" {p.replace(' ', '  ')} ").replace("\\ ", " ")).alias(f"_{i}") for i, p in enumerate(BASE)])
