@@ -625,6 +625,34 @@ def test_classifier(spark, texts):
     assert quality_classifier.quality_scores(make(spark, []), labels).count() == 0
 
 
+def test_votes_by_hand(spark, texts):
+    """Scores against every labelled row as a point of its own: cosines one by one, the nearest rows, weights by similarity."""
+    rng = random.Random(2)
+    made = [" ".join(words(rng, rng.randint(3, 40))) for _ in range(60)]
+    docs = make(spark, made + texts[:8] + [None, "", "a" * 3000 + " word"])
+    labels = spark.createDataFrame([(i, int(rng.random() < 0.5)) for i in range(60)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels, neighbours=7)
+    y = {r.doc_id: r.quality for r in labels.collect()}
+    latent = lambda t: model.latent(quality_classifier.term_weights(t).astype(np.float32)[None])[0].astype(np.float64)
+    points = [(latent(made[i]), y[i]) for i in range(60)]
+    got = {r["doc_id"]: r for r in rows(quality_classifier.score(docs, model))}
+    assert len(got) == 71
+    for i, t in enumerate(made + texts[:8] + [None, "", "a" * 3000 + " word"]):
+        near = sorted(((float(latent(t) @ p), v) for p, v in points), reverse=True)
+        weight = lambda s: max(s, 0.0) ** 8 + 1e-9
+        if near[6][0] - near[7][0] > 1e-5:  # no tie at the edge
+            want = sum(weight(s) * v for s, v in near[:7]) / sum(weight(s) for s, _ in near[:7])
+            assert got[i]["score"] == pytest.approx(want, abs=1e-3)
+
+
+def test_terms_cover_the_whole_word():
+    t = quality_classifier.term_weights
+    long_ = "Ab1." * 6
+    assert quality_classifier.shape(long_ + "!") != quality_classifier.shape(long_)
+    assert (t("x" * 40) != t("x" * 80)).any() and (t(long_ + "!") != t(long_)).any() and (t("stone") != t("stony")).any()
+    assert t(None).sum() == t("").sum() > 0 and np.isfinite(t("z" * 10**6)).all()
+
+
 def test_classifier_reads_words(spark):
     rng = random.Random(4)
     letters = lambda a: ["".join(rng.choice(a) for _ in range(5)) for _ in range(60)]

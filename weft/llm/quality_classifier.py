@@ -15,43 +15,60 @@ from .common import Memo
 
 #: Labelled documents that a model holds at most, terms (hashed) and latent dimensions: what is collected and broadcast is bounded by them.
 SAMPLE, TERMS, LATENT = 4096, 2048, 32
-#: The first half of the terms are shapes, lengths and repeats, the others words and word pairs, which weigh WORDS of the whole.
-_HALF, WORDS = TERMS // 2, 0.5
+#: Terms: the first slots are shapes, lengths and repeats, then runs of three letters, the others words and word pairs. Weights of the parts in the whole.
+_FORM, _GRAMS = TERMS // 4, TERMS // 2
+GRAMS, WORDS = 0.25, 0.5
 
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"\d+")
 _SAME = re.compile(r"(.)\1+")
 
 
 def shape(word: str) -> str:
-    """Case, digits and marks of a word, runs drawn together: 'Wort.' is 'Xx.'."""
-    return _SAME.sub(r"\1", _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word))))[:8]
+    """Case, digits and marks of a whole word, runs drawn together: 'Wort.' is 'Xx.'."""
+    return _SAME.sub(r"\1", _DIGIT.sub("9", _LOWER.sub("x", _UPPER.sub("X", word))))
+
+
+def _crc(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass"))
 
 
 def _slot(term: str) -> int:
-    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % _HALF
+    return _crc(term) % _FORM
+
 
+def _features(word: str) -> tuple[int, int, int, np.ndarray, int]:
+    """Slots of a word's shape and length class (doubling), its hash, and the slots of its letter runs with their number."""
+    low = word.lower()
+    edged = f" {low} "
+    grams = np.array([_FORM + _crc(edged[i : i + 3]) % (_GRAMS - _FORM) for i in range(len(edged) - 2)], np.int64)
+    size = len(word) if len(word) < 16 else 12 + len(word).bit_length()
+    return _slot("s:" + shape(word)), _slot(f"l:{size}"), _crc(low), grams, len(grams)
 
-_terms = Memo(lambda w: (_slot("s:" + shape(w)), _slot(f"l:{min(len(w), 15)}"), zlib.crc32(w.lower().encode("utf-8", "surrogatepass"))), 150_000)
+
+_terms = Memo(_features, 100_000)
 
 
 def term_weights(text: str | None) -> np.ndarray:
-    """Square roots of term shares: shapes and lengths of words, words and word pairs themselves, words that repeat the one before or a trigram before, lines seen before, and the length class."""
+    """Square roots of term shares: shapes and lengths of words, runs of three letters, words and word pairs themselves, words that repeat the one before or a trigram before, lines seen before, and the length class."""
     words = (text or "").split()
     n = len(words)
     if n:
-        t = np.array(list(map(_terms.__getitem__, words)), np.int64)
-        v = np.bincount(t[:, :2].ravel(), minlength=TERMS) / (2 * n)
-        pairs = (t[:-1, 2] * 0x9E3779B1 + t[1:, 2]) >> 7
-        v += np.bincount(_HALF + np.concatenate([t[:, 2], pairs]) % _HALF, minlength=TERMS) * (WORDS / (2 * n))
+        forms, lengths, hashes, grams, sizes = zip(*map(_terms.__getitem__, words))
+        v = np.bincount(np.array([forms, lengths], np.int64).ravel(), minlength=TERMS) / (2 * n)
+        runs = np.concatenate(grams)
+        v += np.bincount(runs, np.repeat(GRAMS / (n * np.array(sizes)), sizes), minlength=TERMS)
+        h = np.array(hashes, np.int64)
+        pairs = (h[:-1] * 0x9E3779B1 + h[1:]) >> 7
+        v += np.bincount(_GRAMS + np.concatenate([h, pairs]) % (TERMS - _GRAMS), minlength=TERMS) * (WORDS / (2 * n))
         v[_slot("r:next")] += sum(map(str.__eq__, words, words[1:])) / n
-        grams = list(zip(words, words[1:], words[2:]))
-        v[_slot("r:gram")] += (len(grams) - len(set(grams))) / n
+        triples = list(zip(words, words[1:], words[2:]))
+        v[_slot("r:gram")] += (len(triples) - len(set(triples))) / n
         lines = text.split("\n")
         v[_slot("r:line")] += (len(lines) - len(set(lines))) / len(lines)
         v[_slot("r:word")] += 1 - len(set(words)) / n
     else:
         v = np.zeros(TERMS)
-    v[_slot(f"n:{min(n, 10**6).bit_length()}")] += 0.02
+    v[_slot(f"n:{n.bit_length()}")] += 0.02
     return np.sqrt(v)
 
 
@@ -86,6 +103,17 @@ class Model:
         return np.clip((w * self.labels[at]).sum(axis=1) / w.sum(axis=1), 0, 1)
 
 
+def _axes(z: np.ndarray, n: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """The LATENT strongest directions of rows z that stand for n rows each (right singular vectors), by subspace iteration from a fixed start."""
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(TERMS, 2 * LATENT)))[0].astype(np.float32)
+    w = z * np.sqrt(n).astype(np.float32)[:, None]
+    for _ in range(rounds if len(z) else 0):
+        q = np.linalg.qr(w.T @ (w @ q))[0]
+    _, _, turn = np.linalg.svd((w @ q).astype(np.float64) if len(z) else np.eye(2 * LATENT), full_matrices=False)
+    axes = (q @ turn.T[:, :LATENT]).astype(np.float32)
+    return np.pad(axes, ((0, 0), (0, LATENT - axes.shape[1])))
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE, neighbours: int = 15) -> Model:
     """Model from labelled documents (doc_id, label 0 or 1; null labels don't count), of at most `sample` with the smallest hashes of doc_id.
 
@@ -118,9 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     x = np.array([np.frombuffer(r["v"], np.float32) for r in rows], np.float32).reshape(len(rows), TERMS)
     y, n = np.array([r["_y"] for r in rows], np.float64), np.array([r["n"] for r in rows], np.int64)
     idf = np.log((1 + n.sum()) / (1 + n @ (x > 0))).astype(np.float32) + 1
-    z = x * idf
-    _, axes = np.linalg.eigh((z.T * n) @ z)
-    m = Model(idf, axes[:, ::-1][:, :LATENT].astype(np.float32), np.zeros((0, LATENT), np.float32), y, neighbours, n)
+    m = Model(idf, _axes(x * idf, n), np.zeros((0, LATENT), np.float32), y, neighbours, n)
     m.points = m.latent(x)
     return m
 
