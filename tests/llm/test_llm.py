@@ -397,6 +397,47 @@ def test_language_model(spark, texts):
     assert language_model.lm_scores(make(spark, [])).count() == 0
 
 
+def test_gradient_by_differences():
+    """Observed less expected counts against differences of the log-likelihood, which is summed token by token here."""
+    m = language_model
+    rng = np.random.default_rng(4)
+    for kind, y, other in ((0, m.CLASSES + 1, m.FAR), (1, m.WORDS, m.COARSE)):
+        w = {f"b{kind}": rng.normal(size=y), f"n{kind}": rng.normal(size=(m.NEAR, y)), f"s{kind}": rng.normal(size=(other, y)), f"j{kind}": rng.normal(size=(other * m.NEAR, y)) * 0.1}
+        ctx, out, n = rng.integers(0, other * m.NEAR, 40), rng.integers(0, y, 40), rng.integers(1, 5, 40)
+        ctx[1::3] = ctx[0]
+
+        def likelihood(w):
+            total = 0.0
+            for c, o, k in zip(ctx, out, n):
+                z = [w[f"b{kind}"][v] + w[f"n{kind}"][c % m.NEAR][v] + w[f"s{kind}"][c // m.NEAR][v] + w[f"j{kind}"][c][v] for v in range(y)]  # noqa: B023
+                among = range(y) if kind == 0 else range(o // m._PER * m._PER, (o // m._PER + 1) * m._PER)  # noqa: B023
+                total += k * (z[o] - math.log(sum(math.exp(z[v]) for v in among)))
+            return total
+
+        got = m.gradient(kind, w, ctx, out, n)
+        for name, (rows_, seen, expected) in got.items():
+            assert sorted(rows_) == sorted(set({"n": ctx % m.NEAR, "s": ctx // m.NEAR, "j": ctx}[name[0]].tolist()))
+            assert seen.sum() == pytest.approx(n.sum()) == expected.sum()
+            for r, v in [(0, int(out[0])), (len(rows_) - 1, 3)]:
+                up, down = ({k: x.copy() for k, x in w.items()} for _ in range(2))
+                up[name][rows_[r], v] += 1e-4
+                down[name][rows_[r], v] -= 1e-4
+                assert (seen - expected)[r, v] == pytest.approx((likelihood(up) - likelihood(down)) / 2e-4, abs=1e-4)
+
+
+def test_training_raises_the_likelihood(spark, texts):
+    d = make(spark, texts)
+    v = language_model.vocabulary(language_model.word_counts(d))
+    cells = language_model.statistics(d, v)
+    own = [(r.kind, r.ctx, r.y, r.n) for r in cells.where("kind < 2").collect()]
+    before = None
+    for steps in (0, 2, 6):
+        a, b = language_model.log_tables(language_model.train(cells, v, steps))
+        now = sum(n * (a if kind == 0 else b)[ctx, y] for kind, ctx, y, n in own)
+        assert before is None or now > before
+        before = now
+
+
 def test_language_model_is_a_distribution(spark, texts):
     d = make(spark, texts)
     counts = language_model.word_counts(d)

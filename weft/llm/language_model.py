@@ -196,12 +196,36 @@ def start_weights(v: Vocabulary) -> dict[str, np.ndarray]:
     return out
 
 
-def train(cells: DataFrame, v: Vocabulary, steps: int = 8, rate: float = 0.6, prior: float = 20.0) -> dict[str, np.ndarray]:
-    """Weights after `steps` full gradient updates. Each is one Spark job: tasks add observed less expected counts per feature over their cells, and the
-    driver moves each weight by its gradient over the larger of the two plus `prior`. Messages have the size of the weights, a few MB, for at most four tasks.
+def gradient(kind: int, w: dict[str, np.ndarray], ctx: np.ndarray, y: np.ndarray, n: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """{feature table: (rows, observed counts, expected counts)} of outcomes y that were seen n times after contexts ctx; only rows of features that occur.
+
+    Observed less expected is the gradient of the log-likelihood by each weight.
+    """
+    each, at = np.unique(ctx, return_inverse=True)
+    seen = np.zeros((len(each), len(w[f"b{kind}"])))
+    np.add.at(seen, (at, y), n)
+    p = _softmax(kind, _logits(kind, w, each))
+    if kind == 0:
+        mass = seen.sum(axis=1, keepdims=True)
+    else:
+        mass = np.repeat(seen.reshape(len(each), CLASSES, _PER).sum(axis=2), _PER, axis=1)
+    out = {}
+    for name, feature in (("n", each % NEAR), ("s", each // NEAR), ("j", each)):
+        rows, row = np.unique(feature, return_inverse=True)
+        sums = np.zeros((2, len(rows), seen.shape[1]))
+        np.add.at(sums[0], row, seen)
+        np.add.at(sums[1], row, mass * p)
+        out[f"{name}{kind}"] = rows, sums[0], sums[1]
+    return out
+
+
+def train(cells: DataFrame, v: Vocabulary, steps: int = 8, rate: float = 0.6, prior: float = 20.0, parts: int = 8) -> dict[str, np.ndarray]:
+    """Weights after `steps` full gradient updates. Each is one Spark job over all contexts: every partition sends observed and expected counts of the features that its contexts
+    have, and the driver moves each weight by its gradient over the larger of the two plus `prior`. Contexts are dealt to `parts` partitions by hash, so a step's messages
+    together have about the size of the weights, a few MB.
     """
     w = start_weights(v)
-    cells = cells.where("kind < 2").coalesce(4)  # this part of the table is bounded by the buckets
+    cells = stash(cells.where("kind < 2").repartition(parts, "kind", "ctx"), "contexts")  # this part of the table is bounded by the buckets
     spark = cells.sparkSession
     for _ in range(steps):
         held = spark.sparkContext.broadcast(w)
@@ -216,20 +240,9 @@ def train(cells: DataFrame, v: Vocabulary, steps: int = 8, rate: float = 0.6, pr
                 k = kinds == kind
                 if not k.any():
                     continue
-                ctx, at = np.unique(ctxs[k], return_inverse=True)
-                seen = np.zeros((len(ctx), len(held.value[f"b{kind}"])))
-                np.add.at(seen, (at, ys[k]), ns[k])
-                p = _softmax(kind, _logits(kind, held.value, ctx))
-                if kind == 0:
-                    mass = seen.sum(axis=1, keepdims=True)
-                else:
-                    mass = np.repeat(seen.reshape(len(ctx), CLASSES, _PER).sum(axis=2), _PER, axis=1)
-                both = np.concatenate([seen, mass * p], axis=1)
-                for name, rows in (("n", ctx % NEAR), ("s", ctx // NEAR), ("j", ctx)):
-                    sums = np.zeros((len(held.value[f"{name}{kind}"]), both.shape[1]))
-                    np.add.at(sums, rows, both)
-                    use = np.flatnonzero(sums.any(axis=1))
-                    yield pa.RecordBatch.from_arrays([pa.array([f"{name}{kind}"] * len(use)), pa.array(use.astype(np.int32)), pa.array([x.astype(np.float32).tobytes() for x in sums[use]], pa.binary())], ["name", "row", "g"])
+                for name, (rows, seen, expected) in gradient(kind, held.value, ctxs[k], ys[k], ns[k]).items():
+                    both = np.concatenate([seen, expected], axis=1).astype(np.float32)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(rows.astype(np.int32)), pa.array([x.tobytes() for x in both], pa.binary())], ["name", "row", "g"])
 
         total: dict[str, np.ndarray] = {k: np.zeros((x.shape[0], 2 * x.shape[1])) for k, x in w.items() if x.ndim == 2}
         for r in cells.mapInArrow(run, "name string, row int, g binary").toArrow().to_pylist():
@@ -237,6 +250,7 @@ def train(cells: DataFrame, v: Vocabulary, steps: int = 8, rate: float = 0.6, pr
         for k, t in total.items():
             seen, expected = np.split(t, 2, axis=1)
             w[k] = w[k] + rate * (seen - expected) / (np.maximum(seen, expected) + prior)
+    drop_stash(cells)
     return w
 
 
