@@ -90,6 +90,18 @@ def test_components(spark):
     assert got == want
 
 
+def test_merged_components(spark):
+    rng = random.Random(5)
+    one, two = ([(rng.randrange(80), rng.randrange(80)) for _ in range(n)] for n in (30, 25))
+    d = lambda e: spark.createDataFrame(e, "a long, b long")
+    got = {r.node: r.comp for r in common.merged_components(common.components(d(one)), d(two)).collect()}
+    nodes = sorted({x for e in one + two for x in e if e[0] != e[1] or e in two})
+    every = {(min(e), max(e)) for e in one + two}
+    assert got == linked(nodes, lambda a, b: (a, b) in every)
+    none = common.merged_components(common.components(d([])), d([]))
+    assert none.count() == 0
+
+
 def test_kd_shards(spark, texts):
     made = texts[:60] * 4
     got = rows(kdshard.kd_shards(make(spark, made), shards=8))

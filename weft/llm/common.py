@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.shared import new_path
+
 #: Entries a word cache of one Python worker holds before it starts again (about 30 MB for numbers).
 CACHE_ENTRIES = 150_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a temporary folder is taken on one machine, and on a cluster RuntimeError is raised."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir isn't set: intermediates need a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='weft-checkpoints-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage is cut, and a lost executor costs nothing that was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}/{name}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash = path  # noqa: SLF001
@@ -108,3 +95,17 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         mark = now
     drop_stash(first)
     return stash(e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct(), "components")
+
+
+def merged_components(comps: DataFrame, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Components (node, comp) of the graph of `comps` with further links: only the links between different components are followed."""
+
+    def named(df: DataFrame, c: str, to: str) -> DataFrame:
+        return df.join(comps.select(F.col("node").alias(c), F.col("comp").alias(to)), c, "left").withColumn(to, F.coalesce(to, c))
+
+    ends = stash(named(named(links.select(a, b), a, "_x"), b, "_y"), "ends")
+    over = components(ends.where("_x <> _y"), "_x", "_y").toDF("comp", "least")
+    every = comps.unionByName(ends.select(F.col(a).alias("node"), F.col("_x").alias("comp"))).unionByName(ends.select(F.col(b).alias("node"), F.col("_y").alias("comp"))).distinct()
+    out = stash(every.join(over, "comp", "left").select("node", F.coalesce("least", "comp").alias("comp")), "components")
+    drop_stash(ends)
+    return out

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, components, drop_stash, stash
+from .common import Memo, components, drop_stash, merged_components, stash
 
 _hash = Memo(xxhash.xxh3_64_intdigest)
 _U = np.uint64
@@ -231,19 +231,21 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     several = stash(bucket.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("p"), F.min_by("n", "id").alias("pn")).where("c > 1"), "buckets")
     members = stash(bucket.join(several.select("key", "p", "pn"), "key"), "members")
     stars = members.where((F.col("p") < F.col("id")) & near(F.col("n"), F.col("pn"))).select(F.col("p").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stash(stars, "stars")
     pool = stash(bayes_pruned(stars, reps, hashes, batch, num, den, miss), "pool")
 
     best = pool.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("m"), "a"))).where("r = 1")
-    links = verified(best, docs, shingle, num, den)
-    comps = components(links)
+    first = verified(best, docs, shingle, num, den)
+    comps = components(first)
 
     def labelled(df: DataFrame, id_: str, name: str) -> DataFrame:
         return df.join(comps.select(F.col("node").alias(id_), F.col("comp").alias(name)), id_, "left").withColumn(name, F.coalesce(name, id_))
 
     rest = labelled(labelled(pool.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
     rest = rest.join(best.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(verified(rest, docs, shingle, num, den))
-    comps = components(links)
+    more = verified(rest, docs, shingle, num, den)
+    comps = merged_components(comps, more)
+    drop_stash(first, more)
 
     counts = labelled(members.select("band", "key", "id", "n"), "id", "comp")
     counts = stash(counts, "labelled")
@@ -255,7 +257,7 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     x, y = few.where("comp <> main").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx")), few.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
     cross = x.join(y, (x.key == y.key) & (x.cx != y.cy) & near(x.nx, y.ny)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pool2 = stash(bayes_pruned(cross.join(stars, ["a", "b"], "left_anti"), reps, hashes, batch, num, den, miss), "pool")
-    links = links.unionByName(verified(pool2, docs, shingle, num, den))
+    few_links = verified(pool2, docs, shingle, num, den)
 
     many = open_.where(F.col("m") > small).withColumn("si", F.ceil(F.col("out") / chunk).cast("int")).withColumn("mi", F.ceil(F.col("m") / chunk).cast("int"))
     large = stash(full_sets(docs, many.select("id").distinct(), shingle).join(reps.select("id", "sig"), "id"), "large")
@@ -265,11 +267,11 @@ def minhash_dedup(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 1
     sides = sides.unionByName(many.withColumn("role", F.lit("m")).withColumn("j", spot("mi")).withColumn("i", over("si")))
     steps = least_matches(hashes, batch, num / den, miss)
     blocks = sides.select("band", "key", "i", "j", "role", "id", "comp").join(large, "id").groupBy("band", "key", "i", "j")
-    links = links.unionByName(stash(blocks.applyInPandas(lambda k, g: _strays(g, int(k[0]), rows, steps, num, den), "a long, b long"), "links"))
-    comps = components(links)
+    many_links = stash(blocks.applyInPandas(lambda k, g: _strays(g, int(k[0]), rows, steps, num, den), "a long, b long"), "links")
+    comps = merged_components(comps, few_links.unionByName(many_links))
 
     named = stash(labelled(classes, "id", "component_id").select("fp", "component_id"), "named")
-    drop_stash(reps, several, members, pool, pool2, counts, open_, large)
+    drop_stash(classes, reps, several, members, stars, pool, pool2, counts, open_, large, few_links, many_links, comps)
     out = feats.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(named, "fp", "left")
     cid = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), (cid == F.col("doc_id")).alias("kept"))

@@ -167,7 +167,7 @@ def score(docs: DataFrame, model: Model, block: int = 1024) -> DataFrame:
 
 def keep_likely(docs: DataFrame, model: Model, least: float = 0.5, block: int = 1024) -> DataFrame:
     """The documents with a score of at least `least`, with the columns of docs; scored and filtered in one pass."""
-    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+    held, at = docs.sparkSession.sparkContext.broadcast(model), [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
         for b in batches:
