@@ -13,7 +13,11 @@ def running(df: DataFrame, key: str, value: str, name: str, bound: int | None =
     """Add `name`: the sum of value over all smaller keys (key: unique whole numbers, below `bound` if that is given).
 
     Within blocks of the key, then over block totals, which are 1 / BLOCK of the keys; where the bound leaves more than BLOCK blocks, block totals are summed the same way.
+    Where it leaves one block, there are no totals to add.
     """
+    if bound and bound <= BLOCK:
+        one = F.sum(value).over(Window.partitionBy(F.floor(F.col(key) / BLOCK)).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn(name, F.coalesce(one, F.lit(0)).cast("long"))
     b = df.withColumn("_block", F.floor(F.col(key) / BLOCK).cast("long"))
     before = lambda w, v: F.coalesce(F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     totals = b.groupBy("_block").agg(F.sum(value).alias("_t"))

@@ -110,9 +110,9 @@ class Storage:
             total = prod(self.sizes[: k + 1])
             if total > DENSE_LIMIT:
                 raise ValueError(f"{self.encoding.name}: {total} dense positions at level {k}")
-            counts = below.groupBy(at.alias("pos")).agg(F.count("*").alias("n"))
-            every = spark.range(total + 1).select(F.col("id").alias("pos")).join(counts, "pos", "left").select("pos", F.coalesce("n", F.lit(0)).alias("n"))
-            return running(every, "pos", "n", "x", total + 1).select("pos", "x")
+            places = spark.range(total + 1).select(F.col("id").alias("pos"), F.lit(0).cast("long").alias("n"))
+            counts = below.select(at.alias("pos"), F.lit(1).cast("long").alias("n")).unionByName(places).groupBy("pos").agg(F.sum("n").alias("n"))
+            return running(counts, "pos", "n", "x", total + 1).select("pos", "x")
         if not (self.a <= k < self.b and k in self.encoding.fuse):
             raise ValueError(f"level {k} of {self.encoding.name} has no pointers")
         counts = self.entries(k + 1).groupBy(*self._names(k)).agg(F.count("*").alias("n"))
