@@ -346,7 +346,7 @@ def fences_by_hand(group, wide, prior, seen):
     if not v:
         return None
     q1, q3 = (v[math.ceil(len(v) * p / 100) - 1] for p in (25, 75))
-    own = q1 - 3 * (q3 - q1), q3 + 3 * (q3 - q1)
+    own = q1 - quality_rules.REACH * (q3 - q1), q3 + quality_rules.REACH * (q3 - q1)
     return own if wide is None else tuple((len(v) * x + prior * w) / (len(v) + prior) for x, w in zip(own, wide))
 
 

@@ -29,6 +29,8 @@ MEASURES = {
 }
 #: Documents that the fences of the wider group count for beside a group's own.
 PRIOR = 100
+#: Spreads (q3 - q1) between a quartile and its fence.
+REACH = 4
 #: Significant bits of a sketch cell: relative error under 1/256.
 BITS = 9
 
@@ -75,7 +77,7 @@ def _rate(k: str) -> Column:
     return F.expr(f"case when {d} > 0 then {n} * 1000 div {d} else 0 end")
 
 
-def thresholds(m: DataFrame, least_words: int = 50, most_repeats: int = 50, reach: int = 3, prior: int = PRIOR) -> DataFrame:
+def thresholds(m: DataFrame, least_words: int = 50, most_repeats: int = 50, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """(lang, source, lo_<measure>, hi_<measure>...): the fences q1 - reach * (q3 - q1) and q3 + reach * (q3 - q1) of each measure, from a quantile sketch of the group.
 
     Only documents that pass the base rules are learnt from, and documents with the same counts (copies) once, so a large group of copies doesn't narrow the fences.
@@ -126,7 +128,7 @@ def _base_failed(least_words: int, most_repeats: int) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
 
 
-def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, reach: int = 3, prior: int = PRIOR) -> DataFrame:
+def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """(doc_id, counts..., base_failed, kept, failed) of each document.
 
     base_failed: fewer than least_words words, or over most_repeats percent of them in 3-word windows that the text holds twice. Kept: base passed and every measure
@@ -143,7 +145,7 @@ def quality_rules(docs: DataFrame, least_words: int = 50, most_repeats: int = 50
     return j.select("doc_id", *_COUNTS, base.alias("base_failed"), (~base & (F.col("failed") == "")).alias("kept"), "failed")
 
 
-def keep_good(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, reach: int = 3, prior: int = PRIOR) -> DataFrame:
+def keep_good(docs: DataFrame, least_words: int = 50, most_repeats: int = 50, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """The documents that quality_rules keeps, with the columns of docs. Texts are measured again on the way rather than shuffled to their verdicts."""
     m = stash(measured(docs), "measured")
     t = thresholds(m, least_words, most_repeats, reach, prior)

@@ -102,7 +102,7 @@ FROM embeddings d LEFT JOIN k ON k.a = d.vec_id LEFT JOIN comp ON comp.a = d.vec
 
 
 def _op5_sql() -> str:
-    m, prior = quality_rules.MEASURES, quality_rules.PRIOR
+    m, prior, reach = quality_rules.MEASURES, quality_rules.PRIOR, quality_rules.REACH
     value = lambda k: f"CASE WHEN {m[k][1]} > 0 THEN {m[k][0]} * 1000 // {m[k][1]} ELSE 0 END"
     cells = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS m, {value(k)} AS v FROM once" + f" WHERE {value(k)} > 0" * m[k][2].endswith("seen") for k in m)
     base = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
@@ -111,7 +111,7 @@ def _op5_sql() -> str:
         by = f"{level}, m" if level else "m"
         q = lambda p: f"min(cell) FILTER (upto * 100 >= n * {p})"
         return (
-            f"{name} AS (SELECT {by}, n, q1 - 3 * (q3 - q1) AS lo, q3 + 3 * (q3 - q1) AS hi FROM (SELECT {by}, max(n) AS n, {q(25)} AS q1, {q(75)} AS q3 "
+            f"{name} AS (SELECT {by}, n, q1 - {reach} * (q3 - q1) AS lo, q3 + {reach} * (q3 - q1) AS hi FROM (SELECT {by}, max(n) AS n, {q(25)} AS q1, {q(75)} AS q3 "
             f"FROM (SELECT *, sum(c) OVER (PARTITION BY {by} ORDER BY cell) AS upto, sum(c) OVER (PARTITION BY {by}) AS n FROM (SELECT {by}, cell, count(*) AS c FROM cells GROUP BY {by}, cell)) GROUP BY {by}))"
         )
 
