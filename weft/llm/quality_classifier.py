@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from .common import Memo
 
+
 #: Labelled documents that a model holds at most, terms (hashed) and latent dimensions: what is collected and broadcast is bounded by them.
 SAMPLE, TERMS, LATENT = 4096, 2048, 32
-#: Terms: the first slots are shapes, lengths and repeats, then runs of three letters, the others words and word pairs. Weights of the parts in the whole.
+#: Terms: the first slots are shapes, lengths and repeats, then runs of three bytes in lower case (spaces included), the others words and word pairs. Weights of the parts in the whole.
 _FORM, _GRAMS = TERMS // 4, TERMS // 2
 GRAMS, WORDS = 0.25, 0.5
 
@@ -36,33 +37,50 @@ def _slot(term: str) -> int:
     return _crc(term) % _FORM
 
 
-def _features(word: str) -> tuple[int, int, int, np.ndarray, int]:
-    """Slots of a word's shape and length class (doubling), its hash, and the slots of its letter runs with their number."""
-    low = word.lower()
-    edged = f" {low} "
-    grams = np.array([_FORM + _crc(edged[i : i + 3]) % (_GRAMS - _FORM) for i in range(len(edged) - 2)], np.int64)
-    size = len(word) if len(word) < 16 else 12 + len(word).bit_length()
-    return _slot("s:" + shape(word)), _slot(f"l:{size}"), _crc(low), grams, len(grams)
+class _Terms(dict):
+    """Words with a row each in a table of their features: slots of shape and length class (doubling from 16 on), and hash. Between texts it starts again once it holds `limit` words."""
+
+    def __init__(self, limit: int = 150_000):
+        super().__init__()
+        self.limit = limit
+        self.start_again()
+
+    def start_again(self) -> None:
+        self.clear()
+        self.cols = np.zeros((3, 1024), np.int64)
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        if row >= self.cols.shape[1]:
+            self.cols = np.concatenate([self.cols, np.zeros_like(self.cols)], axis=1)
+        size = len(word) if len(word) < 16 else 12 + len(word).bit_length()
+        self.cols[:, row] = _shape_slot[shape(word)], _length_slot[size], _crc(word.lower())
+        return row
 
 
-_terms = Memo(_features, 100_000)
+_shape_slot, _length_slot = Memo(lambda x: _slot("s:" + x), 50_000), Memo(lambda x: _slot(f"l:{x}"))
+_terms = _Terms()
 
 
 def term_weights(text: str | None) -> np.ndarray:
-    """Square roots of term shares: shapes and lengths of words, runs of three letters, words and word pairs themselves, words that repeat the one before or a trigram before, lines seen before, and the length class."""
+    """Square roots of term shares: shapes and lengths of words, runs of three bytes, words and word pairs themselves, words that repeat the one before or a trigram before, lines seen before, and the length class."""
     words = (text or "").split()
     n = len(words)
     if n:
-        forms, lengths, hashes, grams, sizes = zip(*map(_terms.__getitem__, words))
-        v = np.bincount(np.array([forms, lengths], np.int64).ravel(), minlength=TERMS) / (2 * n)
-        runs = np.concatenate(grams)
-        v += np.bincount(runs, np.repeat(GRAMS / (n * np.array(sizes)), sizes), minlength=TERMS)
-        h = np.array(hashes, np.int64)
+        if len(_terms) >= _terms.limit:
+            _terms.start_again()
+        rows = np.fromiter(map(_terms.__getitem__, words), np.int64, n)
+        forms, lengths, h = _terms.cols[:, rows]
+        v = np.bincount(np.concatenate([forms, lengths]), minlength=TERMS) / (2 * n)
+        b = np.frombuffer(f" {' '.join(words)} ".lower().encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint32)
+        runs = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1) >> np.uint32(8)) % np.uint32(_GRAMS - _FORM)
+        v[_FORM:_GRAMS] += np.bincount(runs, minlength=_GRAMS - _FORM) * (GRAMS / len(runs))
         pairs = (h[:-1] * 0x9E3779B1 + h[1:]) >> 7
         v += np.bincount(_GRAMS + np.concatenate([h, pairs]) % (TERMS - _GRAMS), minlength=TERMS) * (WORDS / (2 * n))
-        v[_slot("r:next")] += sum(map(str.__eq__, words, words[1:])) / n
-        triples = list(zip(words, words[1:], words[2:]))
-        v[_slot("r:gram")] += (len(triples) - len(set(triples))) / n
+        v[_slot("r:next")] += np.count_nonzero(rows[1:] == rows[:-1]) / n
+        if n > 2:
+            three = (rows[:-2] * 0x1F123BB5 + rows[1:-1]) * 0x9E3779B1 + rows[2:]
+            v[_slot("r:gram")] += (n - 2 - len(np.unique(three))) / n
         lines = text.split("\n")
         v[_slot("r:line")] += (len(lines) - len(set(lines))) / len(lines)
         v[_slot("r:word")] += 1 - len(set(words)) / n
